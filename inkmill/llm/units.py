@@ -19,6 +19,8 @@ from __future__ import annotations
 import os
 import re
 
+import numpy as np
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 SPACES = b"\t\n\x0b\x0c\r "
@@ -26,7 +28,7 @@ _BYTE_UNIT = re.compile(rb"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
 #: White space that the library knows beyond ASCII's, and the separators \x1c-\x1f, as UTF-8.
 _OTHER_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 #: Units remembered per generation; a unit longer than MAX_UNIT bytes isn't kept.
-GENERATION = 150_000
+GENERATION = 300_000
 MAX_UNIT = 256
 _made: dict[tuple, UnitEncoder] = {}
 
@@ -47,40 +49,66 @@ class UnitEncoder:
 
     def units(self, text: bytes) -> list[bytes]:
         if self.word:
-            return text.split()
+            # lower-casing is the normalizer's; only added tokens, which all begin with "<|", are matched before it
+            return (text if b"<|" in text else text.lower()).split()
         if _OTHER_SPACE.search(text):
             return [text]
         return _BYTE_UNIT.findall(text)
 
-    def of_library(self, texts: list[bytes]) -> list[bytes]:
-        import numpy as np
+    def of_library(self, units: list[bytes]) -> list[bytes]:
+        """The ids of each unit, as a text of its own; many go to the library in one sequence of separate words."""
+        words = [x.decode("utf-8", "replace") for x in units]
+        out = []
+        for k in range(0, len(words), 512):
+            part = words[k : k + 512]
+            got = self.lib.encode_batch_fast([part], is_pretokenized=True, add_special_tokens=False)[0]
+            if None in got.word_ids:  # an added token belongs to no word
+                out += [np.array(x.ids, "<u4").tobytes() for x in self.lib.encode_batch_fast(part, add_special_tokens=False)]
+                continue
+            ids = np.array(got.ids, "<u4").tobytes()
+            ends = (4 * np.cumsum(np.bincount(np.array(got.word_ids, np.int64), minlength=len(part)))).tolist()
+            out += [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        return out
+
+    def peeled(self, unit: bytes) -> tuple[bytes, bytes] | None:
+        """(unit without its last mark, the mark) where the tokenizer cuts between them in any context.
 
-        out = self.lib.encode_batch_fast([x.decode("utf-8", "replace") for x in texts], add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in out]
+        A full stop or comma after a letter begins a pre-token of its own, and no added token holds either. The letter
+        must still be one, alone, once lower-cased (U+0130 becomes a letter and a mark).
+        """
+        if self.word and unit[-1:] in (b".", b","):
+            last = unit[:-1].decode("utf-8", "replace")[-1:].lower()
+            if len(last) == 1 and last.isalpha():
+                return unit[:-1], unit[-1:]
+        return None
 
     def ids(self, texts: list[bytes]) -> list[list[bytes]]:
         """For each text, its units' ids."""
         cut = [self.units(x) for x in texts]
         new, old = self.new, self.old
-        missing = {}
+        missing: dict[bytes, tuple | None] = {}
         for units in cut:
             for u in set(units).difference(new):
                 if (got := old.get(u)) is not None:
                     new[u] = got
-                else:
-                    missing[u] = None
+                elif u not in missing:
+                    missing[u] = pair = self.peeled(u)
+                    for x in pair or ():
+                        if x not in new:
+                            if (got := old.get(x)) is not None:
+                                new[x] = got
+                            else:
+                                missing.setdefault(x, None)
+        big: dict[bytes, bytes] = {}
         if missing:
-            todo = list(missing)
-            big = {}
-            for k in range(0, len(todo), 20_000):
-                part = todo[k : k + 20_000]
-                for u, x in zip(part, self.of_library(part), strict=True):
-                    (new if len(u) <= MAX_UNIT else big)[u] = x
-            if big:
-                out = [[new[u] if u in new else big[u] for u in units] for units in cut]
-            else:
-                get = new.__getitem__
-                out = [list(map(get, units)) for units in cut]
+            todo = [u for u, pair in missing.items() if pair is None]
+            for u, x in zip(todo, self.of_library(todo), strict=True):
+                (new if len(u) <= MAX_UNIT else big)[u] = x
+            for u, pair in missing.items():
+                if pair is not None:
+                    (new if len(u) <= MAX_UNIT else big)[u] = b"".join(big[x] if x in big else new[x] for x in pair)
+        if big:
+            out = [[big[u] if u in big else new[u] for u in units] for units in cut]
         else:
             get = new.__getitem__
             out = [list(map(get, units)) for units in cut]
