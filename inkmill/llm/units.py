@@ -24,15 +24,33 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 SPACES = b"\t\n\x0b\x0c\r "
+#: What a text with single spaces and line feeds between its words doesn't hold.
+_ODD = (b"  ", b"\n\n", b" \n", b"\n ", b"\t", b"\r", b"\x0b", b"\x0c")
+#: Bytes without which a text holds no other white space; finding one takes a closer look.
+_HINTS = (b"\xe2\x80", b"\xc2\xa0", b"\xc2\x85", b"\xe3\x80\x80", b"\xe2\x81\x9f", b"\xe1\x9a\x80", b"\x1c", b"\x1d", b"\x1e", b"\x1f")
 _BYTE_UNIT = re.compile(rb"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
 #: White space that the library knows beyond ASCII's, and the separators \x1c-\x1f, as UTF-8.
 _OTHER_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 #: Units remembered per generation; a unit longer than MAX_UNIT bytes isn't kept.
-GENERATION = 300_000
+GENERATION = 700_000
 MAX_UNIT = 256
 _made: dict[tuple, UnitEncoder] = {}
 
 
+def unit_name(unit: bytes) -> bytes:
+    """A unit without its one leading space; units that begin otherwise have a space before (but for a line feed).
+
+    Splitting at spaces then gives names, and no two units share one.
+    """
+    if unit[:1] == b" " and unit[1:2] not in (b" ", b"\n", b""):
+        return unit[1:]
+    return unit if unit[:1] == b"\n" else b" " + unit
+
+
+def named_unit(name: bytes) -> bytes:
+    return name[1:] if name[:1] == b" " else name if name[:1] == b"\n" else b" " + name
+
+
 class UnitEncoder:
     """The ids of texts, little-endian unsigned 32-bit, equal to the library's without added special tokens."""
 
@@ -48,16 +66,21 @@ class UnitEncoder:
         self.old: dict[bytes, bytes] = {}
 
     def units(self, text: bytes) -> list[bytes]:
+        """The text's units, by name: for byte tokenizers see unit_name."""
         if self.word:
             # lower-casing is the normalizer's; only added tokens, which all begin with "<|", are matched before it
             return (text if b"<|" in text else text.lower()).split()
-        if _OTHER_SPACE.search(text):
-            return [text]
-        return _BYTE_UNIT.findall(text)
+        if any(x in text for x in _HINTS) and _OTHER_SPACE.search(text):
+            return [b" " + text]
+        if any(x in text for x in _ODD) or text[:1] in (b" ", b"\n") or text[-1:] in (b" ", b"\n"):
+            return [unit_name(u) for u in _BYTE_UNIT.findall(text)]
+        names = text.replace(b"\n", b" \n").split(b" ")
+        names[0] = unit_name(names[0]) if names[0] else b" "
+        return names
 
     def of_library(self, units: list[bytes]) -> list[bytes]:
         """The ids of each unit, as a text of its own; many go to the library in one sequence of separate words."""
-        words = [x.decode("utf-8", "replace") for x in units]
+        words = [x.decode("utf-8", "replace") for x in (units if self.word else map(named_unit, units))]
         out = []
         for k in range(0, len(words), 512):
             part = words[k : k + 512]
@@ -73,32 +96,45 @@ class UnitEncoder:
     def peeled(self, unit: bytes) -> tuple[bytes, bytes] | None:
         """(unit without its last mark, the mark) where the tokenizer cuts between them in any context.
 
-        A full stop or comma after a letter begins a pre-token of its own, and no added token holds either. The letter
-        must still be one, alone, once lower-cased (U+0130 becomes a letter and a mark).
+        A full stop or comma after a letter begins a pre-token of its own, and no added token holds either. Letters are
+        those of the Latin blocks that stay one letter when lower-cased.
         """
-        if self.word and unit[-1:] in (b".", b","):
-            last = unit[:-1].decode("utf-8", "replace")[-1:].lower()
-            if len(last) == 1 and last.isalpha():
-                return unit[:-1], unit[-1:]
+        if unit[-1:] in (b".", b","):
+            last = unit[:-1].decode("utf-8", "replace")[-1:]
+            if last.isalpha() and last < "\u0250" and len(last.lower()) == 1:
+                return unit[:-1], unit[-1:] if self.word else unit_name(unit[-1:])
         return None
 
     def ids(self, texts: list[bytes]) -> list[list[bytes]]:
         """For each text, its units' ids."""
-        cut = [self.units(x) for x in texts]
         new, old = self.new, self.old
+        out: list[list[bytes]] = []
+        open_: list[tuple[list, list[int], list[bytes]]] = []  # texts with units to fill in: ids, places, units
         missing: dict[bytes, tuple | None] = {}
-        for units in cut:
-            for u in set(units).difference(new):
-                if (got := old.get(u)) is not None:
-                    new[u] = got
-                elif u not in missing:
-                    missing[u] = pair = self.peeled(u)
-                    for x in pair or ():
-                        if x not in new:
-                            if (got := old.get(x)) is not None:
-                                new[x] = got
-                            else:
-                                missing.setdefault(x, None)
+        look = new.get
+
+        def known(u: bytes) -> bool:
+            if u in new or u in missing:
+                return True
+            if (got := old.get(u)) is not None:
+                new[u] = got
+                return True
+            return False
+
+        for text in texts:
+            units = self.units(text)
+            got = list(map(look, units))
+            out.append(got)
+            if None in got:
+                at = [k for k, x in enumerate(got) if x is None]
+                open_.append((got, at, units))
+                for k in at:
+                    u = units[k]
+                    if not known(u):
+                        missing[u] = pair = self.peeled(u)
+                        for x in pair or ():
+                            if not known(x):
+                                missing[x] = None
         big: dict[bytes, bytes] = {}
         if missing:
             todo = [u for u, pair in missing.items() if pair is None]
@@ -107,11 +143,10 @@ class UnitEncoder:
             for u, pair in missing.items():
                 if pair is not None:
                     (new if len(u) <= MAX_UNIT else big)[u] = b"".join(big[x] if x in big else new[x] for x in pair)
-        if big:
-            out = [[big[u] if u in big else new[u] for u in units] for units in cut]
-        else:
-            get = new.__getitem__
-            out = [list(map(get, units)) for units in cut]
+        for got, at, units in open_:
+            for k in at:
+                u = units[k]
+                got[k] = big[u] if u in big else new[u]
         if len(new) > self.generation:
             self.old, self.new = new, {}
         return out
