@@ -58,6 +58,22 @@ def land(size: list[float], psi: list[float]) -> list[float]:
     return out
 
 
+def correct(size: list[float], out: list[float], free: list[int], want: float, flips: int = 32) -> list[float]:
+    """Ends the landing: a few of the units in `free` change sides, each time the one whose size is nearest to what the
+    words still miss, as long as they come nearer. One long document left to land would else shift its source by much
+    of its length."""
+    out = list(out)
+    miss = want - sum(s * p for s, p in zip(size, out, strict=True))
+    for _ in range(flips):
+        side = 0.0 if miss > 0 else 1.0
+        near = min((k for k in free if out[k] == side), key=lambda k: (abs(size[k] - abs(miss)), k), default=None)
+        if near is None or abs(size[near] - abs(miss)) >= abs(miss):
+            break
+        out[near] = 1.0 - side
+        miss += size[near] * (1 if side else -1)
+    return out
+
+
 def balancer(seed: int, number: int):
     """The flight phase of one block as a function of its rows, and the landing where a source has no other block."""
 
@@ -65,8 +81,12 @@ def balancer(seed: int, number: int):
         # large ones first: what is left to land is then small
         pdf = pdf.drop(columns=["block"]).assign(mass=pdf["size"] * pdf["copies"]).sort_values(["mass", "pos", "doc_id"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
         size = pdf.pop("mass").astype(float).tolist()
-        got = flight(size, pdf["psi"].tolist(), seed * 1_000_003 + number * 7919 + int(pdf["pos"].iloc[0]))
-        pdf["psi"] = land(size, got) if int(pdf["blocks"].iloc[0]) == 1 else got
+        psi = pdf["psi"].tolist()
+        got = flight(size, psi, seed * 1_000_003 + number * 7919 + int(pdf["pos"].iloc[0]))
+        if int(pdf["blocks"].iloc[0]) == 1:
+            free = [k for k, p in enumerate(psi) if 0.0 < p < 1.0]
+            got = correct(size, land(size, got), free, sum(s * p for s, p in zip(size, psi, strict=True)))
+        pdf["psi"] = got
         return pdf
 
     return balance
@@ -105,8 +125,8 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, cap: float = CAP, block: int
     size: words of the text. Every document of a source is expected target / source_size times: the whole part is
     certain, the rest is an inclusion probability. Blocks of one source go through the flight phase in parallel and
     leave two fractional documents each at most; those meet in the next round's blocks, until one block a source is
-    left, and there the last two land. Words and documents of each source thus stay at their expected totals but for
-    that landing. A hot source has more blocks, not larger ones.
+    left, and there the last two land and a few short documents make up for them. Words and documents of each source
+    thus stay at their expected totals but for that landing. A hot source has more blocks, not larger ones.
 
     Null texts have size 0, and a source of size 0 has target 0; null sources are a source of their own, null ids are
     ids like any other. Rows that are equal in doc_id, source and size are one unit and are taken alike. The result
