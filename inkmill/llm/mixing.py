@@ -74,17 +74,30 @@ def correct(size: list[float], out: list[float], free: list[int], want: float, f
     return out
 
 
-def balancer(seed: int, number: int):
-    """The flight phase of one block as a function of its rows, and the landing where a source has no other block."""
+def reserve(block: int) -> int:
+    """Fractional units that a block leaves undecided for the next round besides its last two."""
+    return max(2, block // 32)
+
+
+def balancer(seed: int, number: int, back: int):
+    """The flight phase of one block as a function of its rows, and the landing where a source has no other block.
+
+    A block with others beside it holds back `back` units, so that the last round has short ones to land with.
+    """
 
     def balance(pdf: pd.DataFrame) -> pd.DataFrame:
         # large ones first: what is left to land is then small
         pdf = pdf.drop(columns=["block"]).assign(mass=pdf["size"] * pdf["copies"]).sort_values(["mass", "pos", "doc_id"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
         size = pdf.pop("mass").astype(float).tolist()
         psi = pdf["psi"].tolist()
-        got = flight(size, psi, seed * 1_000_003 + number * 7919 + int(pdf["pos"].iloc[0]))
-        if int(pdf["blocks"].iloc[0]) == 1:
-            free = [k for k, p in enumerate(psi) if 0.0 < p < 1.0]
+        free = [k for k, p in enumerate(psi) if 0.0 < p < 1.0]
+        last = int(pdf["blocks"].iloc[0]) == 1
+        held = set() if last else set(pdf["pos"].iloc[free].sort_values(kind="stable").index[:back])
+        fly = [k for k in range(len(psi)) if k not in held]
+        got = list(psi)
+        for k, p in zip(fly, flight([size[k] for k in fly], [psi[k] for k in fly], seed * 1_000_003 + number * 7919 + int(pdf["pos"].iloc[0])), strict=True):
+            got[k] = p
+        if last:
             got = correct(size, land(size, got), free, sum(s * p for s, p in zip(size, psi, strict=True)))
         pdf["psi"] = got
         return pdf
@@ -124,7 +137,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, cap: float = CAP, block: int
 
     size: words of the text. Every document of a source is expected target / source_size times: the whole part is
     certain, the rest is an inclusion probability. Blocks of one source go through the flight phase in parallel and
-    leave two fractional documents each at most; those meet in the next round's blocks, until one block a source is
+    leave two fractional documents and a reserve; those meet in the next round's blocks, until one block a source is
     left, and there the last two land and a few short documents make up for them. Words and documents of each source
     thus stay at their expected totals but for that landing. A hot source has more blocks, not larger ones.
 
@@ -148,14 +161,14 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, cap: float = CAP, block: int
     while True:
         # a block of its own for each number; null sources group as well
         at = level.select("*", F.pmod(F.xxhash64(F.lit(seed + 1 + number), "pos"), F.col("blocks")).alias("block"))
-        moved = cut(at.groupBy("source", "block").applyInPandas(balancer(seed, number), schema), "mix")
+        moved = cut(at.groupBy("source", "block").applyInPandas(balancer(seed, number, reserve(block)), schema), "mix")
         open_ = (F.col("psi") > 0) & (F.col("psi") < 1)
         settled = moved.where(~open_)
         done = settled if done is None else done.unionByName(settled)
         if moved.where(open_).isEmpty():
             break
-        # a block leaves two at most
-        level = moved.where(open_).withColumn("blocks", F.ceil(F.col("blocks") * 2 / block).cast("long"))
+        # a block leaves two and its reserve at most
+        level = moved.where(open_).withColumn("blocks", F.ceil(F.col("blocks") * (2 + reserve(block)) / block).cast("long"))
         number += 1
     times = F.col("whole") + F.col("psi").cast("int")
     rows = done.select("doc_id", "source", "size", "source_size", "target", times.alias("times"), (F.col("size") * times).cast("long").alias("taken"), F.col("copies"))
