@@ -16,10 +16,10 @@ from .common import cut, held_out, map_rows, text_bytes
 from .license_scan import to_words
 
 #: Bounds of what is learned from: labelled examples of either class, and terms.
-EXAMPLES, TERMS = 4000, 1024
+EXAMPLES, TERMS = 20_000, 1024
 #: Examples of one index block, neighbours that vote, least chi-square and odds ratio of a term.
 BLOCK, NEIGHBOURS = 64, 15
-CHI2, ODDS = 25.0, 4.0
+CHI2, ODDS = 45.0, 30.0
 
 
 def tfidf(terms: dict[bytes, int], idf: np.ndarray, counts: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
