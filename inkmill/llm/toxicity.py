@@ -135,10 +135,25 @@ def term_counts(docs: DataFrame, keep: frozenset | None) -> DataFrame:
     return map_rows(docs, ["text", "y"], run, "term binary, n_1 long, n_0 long").groupBy("term").agg(F.sum("n_1").alias("n_1"), F.sum("n_0").alias("n_0"))
 
 
+def least_shingle(text: bytes, words: int = 3) -> int:
+    """The smallest hash of the text's word shingles; near copies mostly share it."""
+    import xxhash
+
+    w = to_words(text)
+    return min(map(xxhash.xxh64_intdigest, map(b" ".join, zip(*(w[k:] for k in range(words)), strict=False))), default=xxhash.xxh64_intdigest(b" ".join(w)))
+
+
+def with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        keys = np.array([least_shingle(x) for x in text_bytes(b)], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.int64())], names=["doc_id", "text", "y", "key"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, n_terms: int = TERMS, chi2: float = CHI2, odds: float = ODDS, neighbours: int = NEIGHBOURS) -> Model:
     """Learns from labels (doc_id, toxic) whose id isn't held out, joined to docs (doc_id, text).
 
-    Bounded by its parameters: at most `examples` rows of either class, those with the smallest hash of their id, and
+    Bounded by its parameters: at most `examples` rows of either class, those with the smallest hash of their id (of
+    near copies with one label one counts), and
     `n_terms` terms that tell the classes apart among them (chi-square and odds ratio). Document frequencies for the
     IDF are counted over all of docs. Labels that are null or whose id is null or not in docs are left out; an id
     labelled twice is toxic if one of the labels says so. Without examples every score is 0.
@@ -150,7 +165,10 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, n_terms: i
     size = {r["y"] == 1: r["n"] for r in have.groupBy(F.when(F.col("y") == 1, 1).otherwise(0).alias("y")).agg(F.count("*").alias("n")).collect()}
     total = sum(size.values())
     # at most 2 * examples rows of two numbers: a bounded side
-    sample = cut(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y"), "examples")
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    # of near copies with one label a single example stays, or their every word would look like a sign of it
+    keyed = map_rows(texts, ["doc_id", "text", "y"], with_key, "doc_id long, text string, y int, key long")
+    sample = cut(keyed.groupBy("key", "y").agg(F.min_by(F.struct("doc_id", "text"), "doc_id").alias("one")).select("one.doc_id", "one.text", "y"), "examples")
     n_1, n_0 = (sample.where(c).count() for c in ("y = 1", "y <> 1"))
     empty = BlockMaxIndex({}, np.zeros(0), np.zeros(0, np.int64), np.zeros(0), np.zeros((0, 0)))
     prior = size.get(True, 0) / total if total else 0.0
