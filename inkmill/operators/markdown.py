@@ -13,6 +13,8 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+from inkmill.operators.splitter import WHITE
+
 SPACES = re.compile(r"[\t-\r \x85\xa0  -     　]+")
 
 _ATX = re.compile(r" {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
@@ -271,6 +273,8 @@ _INLINE = re.compile(
     rf"""(?P<code>`+)|(?P<auto><(?:[A-Za-z][A-Za-z0-9+.-]{{1,31}}:[^\s<>]*|[\w.+-]+@[\w-]+(?:\.[\w-]+)+)>)|(?P<html>{_TAG}|<!--(?:.|\n)*?-->|<\?(?:.|\n)*?\?>|<![A-Za-z][^>]*>|<!\[CDATA\[(?:.|\n)*?\]\]>)|(?P<escape>\\[!-/:-@\[-`{{-~])|(?P<open>!?\[)|(?P<close>\])|(?P<run>\*+|_+|~+)""",
     re.X,
 )
+#: The characters that any of these begins with.
+_SPECIAL = re.compile(r"[`<\\!\[\]*_~]")
 _TARGET = re.compile(r"\(\s*(?:<[^<>\n]*>|(?:[^\s()\\]|\\.|\((?:[^\s()]|\\.)*\))*)(?:\s+(?:\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|\((?:[^()\\]|\\.)*\)))?\s*\)")
 _LABEL = re.compile(r"\[([^\[\]]*)\]")
 
@@ -283,10 +287,15 @@ def inline(text: str, labels: set[str]) -> list[tuple[str, str]]:
     def put(kind: str, s: str, run=None) -> None:
         out.append([kind, s, run])
 
-    k = 0
-    while m := _INLINE.search(text, k):
-        if m.start() > k:
-            put("text", text[k : m.start()])
+    k = near = 0
+    while special := _SPECIAL.search(text, near):
+        near = special.start()
+        m = _INLINE.match(text, near)
+        if not m:
+            near += 1
+            continue
+        if near > k:
+            put("text", text[k:near])
         k = m.end()
         if m["code"]:
             close = re.compile(rf"(?<!`){m['code']}(?!`)").search(text, k)
@@ -310,6 +319,7 @@ def inline(text: str, labels: set[str]) -> list[tuple[str, str]]:
         elif m["close"]:
             if not opened:
                 put("text", "]")
+                near = k
                 continue
             at, image, begin = opened.pop()
             inner = text[begin : m.start()]
@@ -319,6 +329,7 @@ def inline(text: str, labels: set[str]) -> list[tuple[str, str]]:
                 k = t.end()
             elif " ".join(inner.lower().split()) not in labels:
                 put("text", "]")
+                near = k
                 continue
             _emphasis(out, at + 1)
             if image:
@@ -330,6 +341,7 @@ def inline(text: str, labels: set[str]) -> list[tuple[str, str]]:
         else:
             before, after = text[m.start() - 1 : m.start()], text[m.end() : m.end() + 1]
             put("text", m["run"], _flank(m["run"], before, after))
+        near = k
     if k < len(text):
         put("text", text[k:])
     _emphasis(out, 0)
@@ -474,7 +486,7 @@ def parse_blocks(text: str) -> list[dict]:
 
 def keep_indexable(blocks: list[dict]) -> list[dict]:
     """Without raw HTML, rules and blank blocks; ordinals stay."""
-    return [b for b in blocks if b["type"] not in ("raw_html", "thematic_break") and SPACES.sub("", b["content"])]
+    return [b for b in blocks if b["type"] not in ("raw_html", "thematic_break") and b["content"].strip(WHITE)]
 
 
 def _fence(code: str) -> str:

@@ -7,7 +7,9 @@ import re
 import unicodedata
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
-from itertools import accumulate, groupby
+from itertools import groupby
+
+import numpy as np
 
 from inkmill.schemas import EngineError
 
@@ -23,8 +25,19 @@ _FENCE = re.compile(r" {0,3}(`{3,}|~{3,})")
 _LAST_SPACE = re.compile(f"[{WHITE}](?=[^{WHITE}]*\\Z)")
 
 
+_TABLE = np.full(max(map(ord, _WEIGHT)) + 2, OTHER, np.int64)
+for _c, _w in _WEIGHT.items():
+    _TABLE[ord(_c)] = _w
+
+
+def weights(text: str) -> np.ndarray:
+    """Each character's weight."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return _TABLE[np.minimum(points, len(_TABLE) - 1)]
+
+
 def weigh(text: str) -> int:
-    return sum(_WEIGHT.get(c, OTHER) for c in text)
+    return int(weights(text).sum())
 
 
 def estimate(text: str) -> int:
@@ -69,8 +82,8 @@ class Meter:
         """A function from a start to the end of the longest window within budget, of one character at least."""
         n = len(text)
         if self.estimator is None:
-            sums = [0, *accumulate(_WEIGHT.get(c, OTHER) for c in text)]
-            return lambda i: max(i + 1, bisect.bisect_right(sums, sums[i] + budget * SCALE) - 1)
+            sums = np.concatenate([[0], np.cumsum(weights(text))])
+            return lambda i: max(i + 1, int(np.searchsorted(sums, sums[i] + budget * SCALE, "right")) - 1)
 
         def gallop(i: int) -> int:
             step, fits = 1, i
