@@ -253,6 +253,33 @@ def d_mark_failed(t):
     return versions.mark_failed(vers, fails, now).select("id", "status", "failure_code")
 
 
+@query("WITH " + _VERSIONS + " SELECT v.id, d.document_key, v.content_hash, v.version FROM vers v JOIN docs d ON d.id = v.document_id WHERE v.id = 33")
+def a_load_source(t):
+    none = F.lit(None).cast("string")
+    vers = _versions(t).withColumns({"ingestion_id": F.col("id").cast("string"), "file_name": none, "original_markdown": F.col("version").cast("string"), "source_bytes": F.col("id")})
+    one = versions.load_source(vers, _documents(t), "33")
+    return one.select(F.col("source_bytes").alias("id"), "document_key", "content_hash", F.col("markdown").cast("int").alias("version"))
+
+
+@query("SELECT id, CASE WHEN status = 'RUNNING' AND id % 2 = 0 THEN 5 ELSE 0 END AS chunk_count FROM (WITH " + _VERSIONS + " SELECT id, status FROM vers)")
+def d_progress(t):
+    now = F.lit("2026-07-23 01:02:03").cast("timestamp")
+    vers = _versions(t).withColumns({"ingestion_id": F.col("id").cast("string"), "chunk_count": F.lit(0), "embedded_chunk_count": F.lit(0), "updated_at": now})
+    progress = vers.where("id % 2 = 0").select("ingestion_id", F.lit(5).alias("n_chunks"), F.lit(0).alias("n_embedded"))
+    return versions.set_progress(vers, progress, now).select("id", "chunk_count")
+
+
+@query("SELECT id, status, CASE status WHEN 'SUCCEEDED' THEN 'DEDUPLICATED' WHEN 'RUNNING' THEN CASE WHEN id % 2 = 0 THEN 'ACCEPTED' ELSE 'INGESTION_UNAVAILABLE' END WHEN 'QUEUED' THEN CASE WHEN id % 2 = 0 OR id % 3 = 0 THEN 'ACCEPTED' ELSE 'INGESTION_QUEUE_FULL' END END AS answer FROM (WITH " + _VERSIONS + " SELECT id, status FROM vers)")
+def d_reuse_policy(t):
+    k = F.col("id")
+    return _versions(t).select("id", "status", versions.reuse_policy(F.col("status"), k % 2 == 0, k % 3 == 0).alias("answer"))
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey = 7")
+def r_get(t):
+    return R.Query(t.orders, "o_orderkey").where(P.eq("o_orderkey", 7)).select("o_orderkey", "o_custkey", "o_totalprice").df().select("o_orderkey", "o_custkey", "o_totalprice")
+
+
 # The query builder.
 
 
