@@ -23,6 +23,8 @@ ENTRY = struct.Struct("<QI")
 CHUNK = 65_536
 #: A file is closed once it holds this many ids.
 FILE_IDS = 4_194_304
+#: Words that a worker remembers, a generation (units.py); more than elsewhere, as nothing else here takes memory.
+MEMO = 500_000
 NULL_ID = -(1 << 63)
 
 
@@ -104,7 +106,7 @@ class PlaneFile:
         return whole[start - first * self.chunk : stop - first * self.chunk]
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, path: str | None = None, bits: bool = False, file_ids: int = FILE_IDS, chunk: int = CHUNK) -> str:
+def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, path: str | None = None, bits: bool = False, file_ids: int = FILE_IDS, chunk: int = CHUNK, memo: int = MEMO) -> str:
     """Writes the ids of docs (doc_id, text), each document's followed by end_id, in ascending doc_id; gives the folder.
 
     Documents are dealt by ranges of doc_id and sorted within a range; each task writes files part-RANGE-NUMBER.ids of
@@ -116,7 +118,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, path: str | N
     ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, memo)
         part, number = TaskContext.get().partitionId(), 0
         end = struct.pack("<I", end_id)
         doc_ids: list[int] = []

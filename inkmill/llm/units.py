@@ -32,7 +32,7 @@ _BYTE_UNIT = re.compile(rb"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
 #: White space that the library knows beyond ASCII's, and the separators \x1c-\x1f, as UTF-8.
 _OTHER_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 #: Units remembered per generation; a unit longer than MAX_UNIT bytes isn't kept.
-GENERATION = 700_000
+GENERATION = 250_000
 MAX_UNIT = 256
 _made: dict[tuple, UnitEncoder] = {}
 
