@@ -6,52 +6,92 @@ import math
 from collections import Counter, OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, held_out, map_rows, text_bytes
 from .license_scan import to_words
 
-#: Bounds of what is learned from: labelled examples of either class, and terms.
-EXAMPLES, TERMS = 20_000, 1024
-#: Examples of one index block, neighbours that vote, least chi-square and odds ratio of a term.
-BLOCK, NEIGHBOURS = 64, 15
-CHI2, ODDS = 45.0, 30.0
+#: Bound of what is learned from: labelled examples of either class.
+EXAMPLES = 20_000
+#: Examples of one index block, terms kept as whole rows too, neighbours that vote, texts whose score a task remembers.
+BLOCK, DENSE, NEIGHBOURS, SEEN = 64, 512, 15, 2_000
+#: Weight of a term that tells nothing about the classes, beside one that tells all (1).
+FLOOR = 1e-6
 
 
 def tfidf(terms: dict[bytes, int], idf: np.ndarray, counts: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     """(term numbers, weights) of a text's counts: (1 + log count) times idf, at length 1."""
-    t = np.array(sorted(terms[w] for w in counts), np.int64)
-    back = {terms[w]: c for w, c in counts.items()}
-    w = np.array([(1 + math.log(back[k])) * idf[k] for k in t.tolist()])
+    t = np.fromiter((terms[w] for w in counts), np.int64, len(counts))
+    c = np.fromiter(counts.values(), np.float64, len(counts))
+    order = np.argsort(t)
+    t, c = t[order], c[order]
+    w = (1 + np.log(c)) * idf[t]
     return t, w / np.sqrt((w * w).sum()) if len(w) else w
 
 
+def ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The numbers start[k]..end[k] - 1 of all k, one after another."""
+    size = end - start
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+
+
 @dataclass
 class BlockMaxIndex:
-    """Postings by term, cut into blocks of BLOCK examples that each know the term's greatest weight in them."""
+    """Postings by term, cut into runs of BLOCK examples that each know the term's greatest weight in them."""
 
     terms: dict[bytes, int]
     idf: np.ndarray
     ids: np.ndarray  # the examples' doc_ids
     labels: np.ndarray
-    weights: np.ndarray  # (examples, terms); dropped once the postings are made
-    top: np.ndarray = field(init=False)  # (terms, blocks)
-    post: list = field(init=False)  # by block: by term, (examples, weights)
+    weights: np.ndarray | tuple  # (examples, terms), or (example, term, weight) of those that aren't 0; dropped once the postings are made
+    example: np.ndarray = field(init=False)  # by posting, in order of term and example
+    weight: np.ndarray = field(init=False)
+    post: np.ndarray = field(init=False)  # first posting of each term, and the end
+    most: np.ndarray = field(init=False)  # greatest weight of each term
+    run: np.ndarray = field(init=False)  # first run of each term, and the end
+    block: np.ndarray = field(init=False)  # by run
+    top: np.ndarray = field(init=False)
+    own: tuple = field(init=False)  # the same by example: first place of each and the end, terms, weights
+    row: np.ndarray = field(init=False)  # by term, its row of dense (weights by example), -1 for a rarer term
+    dense: np.ndarray = field(init=False)
+    query: np.ndarray = field(init=False)  # by term; all 0 between searches
 
     def __post_init__(self) -> None:
-        n = len(self.ids)
-        blocks = max(1, -(-n // BLOCK))
-        self.top = np.zeros((len(self.terms), blocks))
-        self.post = []
-        for b in range(blocks):
-            part = self.weights[b * BLOCK : (b + 1) * BLOCK]
-            self.top[:, b] = part.max(axis=0, initial=0.0)
-            self.post.append({int(t): ((r := np.flatnonzero(part[:, t])) + b * BLOCK, part[r, t]) for t in np.flatnonzero(part.any(axis=0))})
+        if isinstance(self.weights, tuple):
+            example, term, weight = self.weights
+        else:
+            example, term = np.nonzero(self.weights)
+            weight = self.weights[example, term]
         self.weights = np.zeros((0, 0))
+        example, term = example.astype(np.int32), term.astype(np.int32)
+        order = np.lexsort((term, example))
+        self.own = np.searchsorted(example[order], np.arange(len(self.ids) + 1)), term[order], weight[order]
+        order = np.lexsort((example, term))
+        self.example, self.weight, term = example[order], weight[order], term[order]
+        self.post = np.searchsorted(term, np.arange(len(self.terms) + 1))
+        often = np.argsort(-np.diff(self.post), kind="stable")[:DENSE]
+        often = often[np.diff(self.post)[often] * 16 > len(self.ids)]
+        self.row = np.full(len(self.terms), -1)
+        self.row[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), len(self.ids)))
+        for r, k in enumerate(often.tolist()):
+            at = slice(self.post[k], self.post[k + 1])
+            self.dense[r, self.example[at]] = self.weight[at]
+        block = self.example // BLOCK
+        new = np.ones(len(term), bool)
+        new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
+        start = np.flatnonzero(new)
+        self.block = block[start]
+        self.top = np.maximum.reduceat(self.weight, start) if len(start) else np.zeros(0)
+        self.run = np.searchsorted(term[start], np.arange(len(self.terms) + 1))
+        self.query, self.most = np.zeros(len(self.terms)), np.zeros(len(self.terms))
+        np.maximum.at(self.most, term[start], self.top)
 
     def vector(self, counts: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
         return tfidf(self.terms, self.idf, counts)
@@ -59,25 +99,57 @@ class BlockMaxIndex:
     def nearest(self, t: np.ndarray, w: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
         """The k greatest (cosine, example), ties to the smaller example; exact.
 
-        Blocks are read by falling upper bound, the query's weights times the blocks' greatest ones; the search ends at
-        the first block whose bound is below the k-th cosine so far.
+        Terms are read by falling upper bound, so each example has a part of its cosine. What the terms left can add, by
+        their greatest weights over all or in an example's block, rules out the examples that can't reach the k-th part
+        so far; once they are few, the cosines of the others are taken from the examples' own terms.
         """
         if not len(t):
             return []
-        bound = w @ self.top[t]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) >= k and bound[b] < best[k - 1][0] - 1e-12:
+        order = np.argsort(-w * self.most[t], kind="stable")
+        t, w = t[order], w[order]
+        rest = np.r_[np.cumsum((w * self.most[t])[::-1])[::-1], 0.0]
+        size = self.post[t + 1] - self.post[t]
+        read, total = np.r_[0, np.cumsum(size)], int(size.sum())
+        n = len(self.ids)
+        length = len(self.example) / max(n, 1)
+        part = np.zeros(n)
+        a = 0
+        while True:
+            # the next terms: one at least, as many postings as were read before
+            b = min(len(t), max(a + 1, int(np.searchsorted(read, max(2 * read[a], n)))))
+            row = self.row[t[a:b]]
+            few = np.flatnonzero(row < 0) + a
+            at = ranges(self.post[t[few]], self.post[t[few] + 1])
+            part += np.bincount(self.example[at], np.repeat(w[few], size[few]) * self.weight[at], n)
+            for x, r in zip(w[a:b].tolist(), row.tolist(), strict=True):
+                if r >= 0:
+                    part += x * self.dense[r]
+            a = b
+            if without >= 0:
+                part[without] = 0.0
+            left = total - read[a]
+            least = np.partition(part, n - k)[n - k] if n > k else 0.0
+            if a == len(t):
+                some = np.flatnonzero((part > 0) & (part >= least - 1e-12))
+                score = part[some]
                 break
-            score = np.zeros(BLOCK)
-            post = self.post[b]
-            for term, weight in zip(t.tolist(), w.tolist(), strict=True):
-                if (p := post.get(term)) is not None:
-                    score[p[0] - b * BLOCK] += weight * p[1]
-            rows = np.flatnonzero(score)
-            best += [(round(float(score[r]), 12), int(r) + b * BLOCK) for r in rows if r + b * BLOCK != without]
-            best.sort(key=lambda x: (-x[0], x[1]))
-            del best[k:]
+            if rest[a] >= least:
+                continue
+            some = np.flatnonzero(part >= least - rest[a] - 1e-12)
+            if len(some) * length > left:
+                runs = ranges(self.run[t[a:]], self.run[t[a:] + 1])
+                more = np.bincount(self.block[runs], np.repeat(w[a:], self.run[t[a:] + 1] - self.run[t[a:]]) * self.top[runs], -(-n // BLOCK))
+                some = some[part[some] + more[some // BLOCK] >= least - 1e-12]
+            if len(some) * length <= left:
+                first, term, weight = self.own
+                self.query[t] = w
+                at = ranges(first[some], first[some + 1])
+                score = np.add.reduceat(self.query[term[at]] * weight[at], np.r_[0, np.cumsum(first[some + 1] - first[some])[:-1]])
+                self.query[t] = 0.0
+                break
+        best = [(round(s, 12), i) for s, i in zip(score.tolist(), some.tolist(), strict=True) if i != without]
+        best.sort(key=lambda x: (-x[0], x[1]))
+        del best[k:]
         return best
 
 
@@ -149,13 +221,24 @@ def with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.int64())], names=["doc_id", "text", "y", "key"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, n_terms: int = TERMS, chi2: float = CHI2, odds: float = ODDS, neighbours: int = NEIGHBOURS) -> Model:
+def telling(a: np.ndarray, b: np.ndarray, n_1: int, n_0: int) -> np.ndarray:
+    """What a term in `a` of n_1 and `b` of n_0 examples tells about the class: phi squared without its bias, 0 to 1 at any number of them.
+
+    It is taken without one of the examples that speak for the term, as such an example's own search would see it.
+    """
+    n = float(n_1 + n_0)
+    toxic = a * n_0 > b * n_1
+    a, b = np.where(toxic, a - 1, a), np.where(toxic, b, np.maximum(b - 1, 0))
+    phi2 = (a * (n_0 - b) - b * (n_1 - a)) ** 2 / np.maximum(float(n_1) * n_0 * (a + b) * (n - a - b), 1e-9)
+    return np.maximum(phi2 - 1 / (n - 1), 0.0)
+
+
+def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neighbours: int = NEIGHBOURS) -> Model:
     """Learns from labels (doc_id, toxic) whose id isn't held out, joined to docs (doc_id, text).
 
-    Bounded by its parameters: at most `examples` rows of either class, those with the smallest hash of their id (of
-    near copies with one label one counts), and
-    `n_terms` terms that tell the classes apart among them (chi-square and odds ratio). Document frequencies for the
-    IDF are counted over all of docs. Labels that are null or whose id is null or not in docs are left out; an id
+    Bounded by its parameter: at most `examples` rows of either class, those with the smallest hash of their id (of
+    near copies with one label one counts). All their terms are indexed, at any number of examples; a term weighs its
+    IDF times what it tells about the class. Document frequencies for the IDF are counted over all of docs. Labels that are null or whose id is null or not in docs are left out; an id
     labelled twice is toxic if one of the labels says so. Without examples every score is 0.
     """
     y = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"), 5, 0)).groupBy("doc_id").agg(F.max("toxic").alias("y"))
@@ -174,59 +257,63 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, n_terms: i
     prior = size.get(True, 0) / total if total else 0.0
     if not n_1 or not n_0:
         return Model(empty, np.zeros(3), prior, prior)
-    a, b = F.col("n_1").cast("double"), F.col("n_0").cast("double")
-    n = float(n_1 + n_0)
-    x2 = n * (a * (n_0 - b) - b * (n_1 - a)) ** 2 / (F.lit(float(n_1) * n_0) * (a + b) * (n - a - b + 0.5))
-    ratio = F.abs(F.log((a + 0.5) * (n_0 - b + 0.5) / ((b + 0.5) * (n_1 - a + 0.5))))
-    picked = term_counts(sample, None).where((x2 >= chi2) & (ratio >= math.log(odds))).orderBy(x2.desc(), "term").limit(n_terms)
-    terms = {bytes(r[0]): k for k, r in enumerate(picked.select("term").collect())}
+    found = term_counts(sample, None).orderBy("term").toArrow()
+    names = found.column("term").to_pylist()
+    terms = {t: k for k, t in enumerate(names)}
     if not terms:
         return Model(empty, np.zeros(3), prior, prior)
-    keep = frozenset(terms)
+    tells = telling(found.column("n_1").to_numpy().astype(float), found.column("n_0").to_numpy().astype(float), n_1, n_0)
+    met = term_counts(docs.select("text", F.lit(0).alias("y")), frozenset(names)).select("term", "n_0").orderBy("term").toArrow()
     df = np.zeros(len(terms))
-    for r in term_counts(docs.select("text", F.lit(0).alias("y")), keep).collect():
-        df[terms[bytes(r["term"])]] = r["n_0"]
+    df[[terms[t] for t in met.column("term").to_pylist()]] = met.column("n_0").to_numpy()
     n_docs = docs.count()
-    idf = np.log((n_docs + 1) / (df + 1)) + 1
+    idf = (np.log((n_docs + 1) / (df + 1)) + 1) * (tells + FLOOR)
+    del names, found, met
 
-    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [tfidf(terms, idf, Counter(to_words(x))) for x in text_bytes(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([t for t, _ in got], pa.list_(pa.int64())), pa.array([w for _, w in got], pa.list_(pa.float64()))], names=["doc_id", "y", "terms", "weights"])
+
+    rows = map_rows(sample, ["doc_id", "text", "y"], vectors, "doc_id long, y int, terms array<long>, weights array<double>").toArrow().sort_by("doc_id").combine_chunks()
+    labels_ = (rows.column("y").to_numpy() == 1).astype(float)
+    size_ = pc.list_value_length(rows.column("terms")).to_numpy()
+    by = np.where(labels_ == 1, prior * len(labels_) / n_1, (1 - prior) * len(labels_) / n_0)
+    bare, some = size_ == 0, size_ > 0
+    ids, flat = rows.column("doc_id").to_numpy()[some], [pc.list_flatten(rows.column(c)).to_numpy() for c in ("terms", "weights")]
+    index = BlockMaxIndex(terms, idf, ids, labels_[some], (np.repeat(np.arange(len(ids)), size_[some]), *flat))
+    del rows, flat
+
+    def leave_one_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [Counter(w for w in to_words(x) if w in keep) for x in text_bytes(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([list(c) for c in got], pa.list_(pa.binary())), pa.array([list(c.values()) for c in got], pa.list_(pa.int64()))], names=["doc_id", "y", "terms", "counts"])
-
-    rows = sorted(map_rows(sample, ["doc_id", "text", "y"], counts, "doc_id long, y int, terms array<binary>, counts array<long>").collect(), key=lambda r: r["doc_id"])
-    labels_ = np.array([float(r["y"] == 1) for r in rows])
-    full = [(r["doc_id"], {bytes(t): c for t, c in zip(r["terms"], r["counts"], strict=True)}, y_) for r, y_ in zip(rows, labels_, strict=True)]
-    share = {1.0: prior * len(rows) / n_1, 0.0: (1 - prior) * len(rows) / n_0}
-    some = [f for f in full if f[1]]
-    bare = [share[f[2]] * f[2] for f in full if not f[1]], [share[f[2]] for f in full if not f[1]]
-    weights = np.zeros((len(some), len(terms)))
-    vectors = [tfidf(terms, idf, f[1]) for f in some]
-    for k, (t, w) in enumerate(vectors):
-        weights[k, t] = w
-    index = BlockMaxIndex(terms, idf, np.array([f[0] for f in some], np.int64), np.array([f[2] for f in some]), weights)
-    x = np.array([features(index.nearest(t, w, neighbours, k), index.labels, prior) for k, (t, w) in enumerate(vectors)])
-    beta = fit_logistic(x, index.labels, np.array([share[y_] for y_ in index.labels.tolist()]))
-    return Model(index, beta, prior, (sum(bare[0]) + 0.5 * prior) / (sum(bare[1]) + 0.5))
+            got = []
+            for doc_id, text in zip(batch.column(0).to_pylist(), text_bytes(batch), strict=True):
+                if words := to_words(text):
+                    near = index.nearest(*index.vector(Counter(words)), neighbours, int(np.searchsorted(ids, doc_id)))
+                    got.append((doc_id, features(near, index.labels, prior)))
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in got], pa.int64()), pa.array([f for _, f in got], pa.list_(pa.float64()))], names=["doc_id", "x"])
+
+    x = map_rows(sample, ["doc_id", "text"], leave_one_out, "doc_id long, x array<double>").toArrow().sort_by("doc_id")
+    beta = fit_logistic(np.array(x.column("x").to_pylist()), index.labels, by[some])
+    return Model(index, beta, prior, ((by * labels_)[bare].sum() + 0.5 * prior) / (by[bare].sum() + 0.5))
 
 
 def scorer(model: Model, neighbours: int = NEIGHBOURS):
-    """A function from a text's bytes to (score, evidence); it remembers what a bounded number of term counts got."""
-    index, keep = model.index, frozenset(model.index.terms)
-    seen: OrderedDict[frozenset, tuple] = OrderedDict()
+    """A function from a text's bytes to (score, evidence); it remembers what a bounded number of texts got."""
+    index = model.index
+    terms = index.terms
+    seen: OrderedDict[bytes, tuple] = OrderedDict()
 
     def score(text: bytes) -> tuple[float, list[dict]]:
-        words = to_words(text)
-        hit = keep.intersection(words)
-        if not hit:
-            return model.bare, []
-        counts = Counter(w for w in words if w in hit)
-        key = frozenset(counts.items())
+        key = blake2b(text, digest_size=16).digest()
         if key not in seen:
+            counts = Counter(w for w in to_words(text) if w in terms)
+            if not counts:
+                return model.bare, []
             near = index.nearest(*index.vector(counts), neighbours)
             z = float(np.dot(features(near, index.labels, model.prior), model.beta))
             seen[key] = 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), [{"doc_id": int(index.ids[i]), "similarity": s, "label": int(index.labels[i])} for s, i in near]
-            if len(seen) > 20_000:
+            if len(seen) > SEEN:
                 seen.popitem(last=False)
         return seen[key]
 
@@ -250,8 +337,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **setti
     """doc_id, held_out, score, predicted, evidence: a row for each row of docs (doc_id, text).
 
     A text's score is the calibrated, distance-weighted vote of its nearest labelled examples by TF-IDF cosine; a text
-    without any of the index's terms, an empty or null one too, has no neighbours and gets the rate of label 1 among such
-    examples. Null ids and repeated rows pass through; other columns are ignored; empty tables give empty results.
+    without any of the examples' words, an empty or null one too, has no neighbours and gets the rate of label 1 among
+    examples without words. Null ids and repeated rows pass through; other columns are ignored; empty tables give empty results.
     """
     model = fit(docs, labels, **settings)
     got = score_documents(docs, model, settings.get("neighbours", NEIGHBOURS))

@@ -129,6 +129,16 @@ def test_toxicity(spark):
     assert {r.predicted for r in toxicity.toxicity(df, labels.limit(0)).collect()} == {0}
 
 
+def test_toxicity_of_a_small_table(spark):
+    df, labels, truth = corpus(spark, 60, 1)
+    by = {r.doc_id: r for r in toxicity.toxicity(df, labels).collect()}
+    toxic = [k for k in truth if truth[k][1] == 1]
+    assert len(truth) < 45 and np.mean([by[k].predicted for k in toxic]) > 0.7
+    assert np.mean([by[k].predicted for k in truth if truth[k][1] == 0]) < 0.1
+    # every text with a word of an example has neighbours, whatever the word tells
+    assert all(by[k].evidence for k in truth)
+
+
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(3)
     n, v = 500, 30
