@@ -548,6 +548,13 @@ def e_cosine_topk(t):
     return embed.cosine_topk(t.embeddings.where("vec_id < 20"), t.embeddings, 5).withColumn("similarity", F.round("similarity", 6))
 
 
+@query(
+    "WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS s FROM embeddings q JOIN embeddings v ON v.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0) SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, round(s, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS n FROM s) WHERE n <= 5"
+)
+def e_cosine_topk_hundredths(t):
+    return embed.cosine_topk_all(t.embeddings.where("vec_id % 100 = 0"), t.embeddings, 5).withColumn("similarity", F.round("similarity", 6))
+
+
 @query()
 def e_embed_chunks(t):
     chunks = _chunks(t)

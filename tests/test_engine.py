@@ -231,6 +231,30 @@ def test_vectors(spark):
         embed.cosine_topk(q, q, 1, query_rows=2)
 
 
+def test_search_of_many_queries(spark, tmp_path):
+    from inkmill.plans.queries import QUERIES
+
+    vectors = {k: [float(k % 7), float(k % 11) + 1] for k in range(100, 1150)}
+    df = spark.createDataFrame(list(vectors.items()), "vec_id LONG, embedding ARRAY<DOUBLE>")
+
+    def brute(k, n):
+        def cos(a, b):
+            return (a[0] * b[0] + a[1] * b[1]) / ((a[0] ** 2 + a[1] ** 2) ** 0.5 * (b[0] ** 2 + b[1] ** 2) ** 0.5)
+
+        s = sorted((round(cos(vectors[k], v), 6) for i, v in vectors.items() if i != k), reverse=True)
+        return s[:n]
+
+    few = df.where("vec_id < 140")
+    got = {}
+    for r in embed.cosine_topk_all(few, df, 3, block_rows=16).collect():
+        got.setdefault(r.query_id, []).append(round(r.similarity, 6))
+    assert {k: sorted(v, reverse=True) for k, v in got.items()} == {k: brute(k, 3) for k in range(100, 140)}
+    assert embed.cosine_topk_all(df.limit(0), df, 3).count() == 0
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    ids = {r.query_id for r in QUERIES["e_cosine_topk_hundredths"](spark, str(tmp_path)).collect()}
+    assert ids == set(range(100, 1150, 100))  # ids that begin above 20, too
+
+
 def test_settings():
     assert Settings.from_env({"RAG_MAX_UPLOAD_BYTES": "10"}).max_upload_bytes == 10
     for env in ({"RAG_MAX_UPLOAD_BYTES": "0"}, {"RAG_INGESTION_WORKERS": "x"}, {"EMBEDDING_BATCH_SIZE": "65"}):
