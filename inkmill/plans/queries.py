@@ -533,6 +533,12 @@ def p_documents_plain(t):
     return ingest.blocks(docs, normalized=True).select("doc_id", "type", "content")
 
 
+@query()
+def p_documents_all(t):
+    docs = t.documents.select("doc_id", F.coalesce(canonical(F.col("text")), F.lit("")).alias("markdown"))
+    return ingest.blocks(docs, normalized=True)
+
+
 # Vectors.
 
 

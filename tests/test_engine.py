@@ -231,6 +231,26 @@ def test_vectors(spark):
         embed.cosine_topk(q, q, 1, query_rows=2)
 
 
+def test_blocks_of_whole_documents(spark, tmp_path):
+    from inkmill.plans.queries import QUERIES
+
+    fixture = {
+        1: ("plain words", [("paragraph", [], "plain words", 1, 1)]),
+        2: ("# T\r\n\r\n- one\r\n- two\r\n\r\n## S\r\n\r\n> said\r\n", [("list", ["T"], "- one\n- two", 3, 4), ("quote", ["T", "S"], "said", 8, 8)]),
+        3: ("| a | b |\n| - | - |\n| 1 | 2 |\n\n```py\nx = 1\n```\n", [("table", [], "| a | b |\n| --- | --- |\n| 1 | 2 |", 1, 3), ("code", [], "x = 1", 5, 7)]),
+        4: ("first\n\nsecond", [("paragraph", [], "first", 1, 1), ("paragraph", [], "second", 3, 3)]),
+        5: ("", []),
+        6: (None, []),
+    }
+    spark.createDataFrame([(k, t) for k, (t, _) in fixture.items()], "doc_id LONG, text STRING").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {k: [] for k in fixture}
+    for r in QUERIES["p_documents_all"](spark, str(tmp_path)).orderBy("doc_id", "ordinal").collect():
+        got[r.doc_id].append((r.type, list(r.heading_path), r.content, r.start_line, r.end_line))
+    assert got == {k: want for k, (_, want) in fixture.items()}
+    # the plain-text query returns the first alone
+    assert [r.doc_id for r in QUERIES["p_documents_plain"](spark, str(tmp_path)).collect()] == [1]
+
+
 def test_search_of_many_queries(spark, tmp_path):
     from inkmill.plans.queries import QUERIES
 
