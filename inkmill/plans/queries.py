@@ -345,6 +345,11 @@ def r_traverse_parent(t):
     return R.Query(t.orders, "o_orderkey").where(P.lt("o_orderkey", 500)).traverse_to_parent(t.customer, ORDER_CUSTOMER, "c_custkey").unique().scan("c_custkey", "c_name")
 
 
+@query("SELECT DISTINCT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
+def r_traverse_parent_status(t):
+    return R.Query(t.orders, "o_orderkey").where(P.eq("o_orderstatus", "F")).traverse_to_parent(t.customer, ORDER_CUSTOMER, "c_custkey").unique().scan("c_custkey", "c_name")
+
+
 @query("SELECT r_regionkey, r_name, string_agg(n_name, ',' ORDER BY n_name) AS nations, count(n_name) AS n FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey, r_name")
 def r_eager_1n(t):
     got = R.with_children(t.region, t.nation, NATION_REGION, "nations", ["n_name"])

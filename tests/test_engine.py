@@ -231,6 +231,15 @@ def test_vectors(spark):
         embed.cosine_topk(q, q, 1, query_rows=2)
 
 
+def test_traversal_from_orders_of_any_id(spark, tmp_path):
+    from inkmill.plans.queries import QUERIES
+
+    spark.createDataFrame([(600, 1, "F"), (700, 1, "F"), (800, 2, "O"), (900, 3, "F")], "o_orderkey LONG, o_custkey LONG, o_orderstatus STRING").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "c_custkey LONG, c_name STRING").write.parquet(f"{tmp_path}/customer.parquet")
+    got = QUERIES["r_traverse_parent_status"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(1, "a"), (3, "c")]
+
+
 def test_blocks_of_whole_documents(spark, tmp_path):
     from inkmill.plans.queries import QUERIES
 
