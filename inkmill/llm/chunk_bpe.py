@@ -80,10 +80,9 @@ class ChunkEncoder:
             a = m.start()
             z = max(c.rfind(x) for x in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")) + 1
             spans.append((c[:a], c[a:z], c[z:]))
-        ids = iter(self.enc.ids([m for _, m, _ in spans if m is not None]))
+        ids = iter(self.enc.encode([m for _, m, _ in spans if m is not None]))
         for c, (head, middle, tail) in zip(chunks, spans, strict=True):
-            units = None if middle is None else next(ids)
-            self.remember(c, (head, None if units is None else b"".join(units), tail))
+            self.remember(c, (head, None if middle is None else next(ids), tail))
 
     def remember(self, chunk: bytes, value: tuple) -> None:
         key = hashlib.blake2b(chunk, digest_size=20).digest()

@@ -51,6 +51,20 @@ def text_bytes(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()]
 
 
+_held: dict = {}
+
+
+def held(key: tuple, make: Callable):
+    """What a Python worker keeps between tasks, made by make() once; asking for another key lets go of the last one.
+
+    A worker thus holds one operator's memory at a time, however many ran in it.
+    """
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 def map_rows(df: DataFrame, cols: list, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """fn over Arrow batches of cols alone; columns of df that cols doesn't name never reach Python."""
     return df.select(*cols).mapInArrow(fn, schema)

@@ -78,8 +78,8 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, huge: int =
                     small.append(k)
             for part in slices([texts[k] for k in small]):
                 rows = [small[k] for k in part]
-                for k, ids in zip(rows, enc.ids([texts[k] for k in rows]), strict=True):
-                    n_tokens[k] = sum(map(len, ids)) // 4
+                for k, n in zip(rows, enc.counts([texts[k] for k in rows]), strict=True):
+                    n_tokens[k] = n
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([len(x) for x in texts], pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([x > limit for x in n_tokens], pa.bool_()), pa.array(n_windows, pa.int32()), pa.array(n_widened, pa.int32())],
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit", "n_windows", "n_widened"],

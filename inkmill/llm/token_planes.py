@@ -16,7 +16,7 @@ from .common import fresh_dir, text_bytes, write_shared
 from .units import encoder, slices
 
 #: File: magic, then HEAD, the document table, the chunk index, the chunks.
-MAGIC = b"IDPLANE1"
+MAGIC = b"IDPLANE2"
 HEAD = struct.Struct("<BBIQQQQ")  # bytes an id, 1 for bit planes, ids a chunk, documents, ids, bytes of the table, chunks
 #: Chunk index entry: offset of the chunk among the chunks, ids in it; then a length for each plane.
 ENTRY = struct.Struct("<QI")
@@ -25,7 +25,7 @@ CHUNK = 65_536
 FILE_IDS = 4_194_304
 #: Words that a worker remembers, a generation (units.py); more than elsewhere, as nothing else here takes memory.
 MEMO = 500_000
-NULL_ID = -(1 << 63)
+MANIFEST = "part long, number long, n_docs long, n_ids long"
 
 
 def split_planes(ids: np.ndarray, width: int, bits: bool) -> list[bytes]:
@@ -48,14 +48,15 @@ def join_planes(parts: list[bytes], n: int, width: int, bits: bool) -> np.ndarra
     return out.view("<u4").ravel()
 
 
-def pack(doc_ids: list[int], lengths: list[int], ids: np.ndarray, chunk: int = CHUNK, bits: bool = False, level: int = 1) -> bytes:
-    """One file's bytes. doc_ids: NULL_ID for null; lengths: ids of each document; ids: all of them, in order."""
+def pack(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, chunk: int = CHUNK, bits: bool = False, level: int = 1) -> bytes:
+    """One file's bytes. lengths: ids of each document; ids: all of them, in order. A bit for each document marks null doc_ids."""
     import zstandard
 
     z = zstandard.ZstdCompressor(level=level)
     top = int(ids.max()) if len(ids) else 0
     width = max(1, (top.bit_length() + 7) // 8)
-    table = z.compress(np.array(doc_ids, "<i8").tobytes() + np.array(lengths, "<u8").tobytes())
+    nulls = np.array([x is None for x in doc_ids], bool)
+    table = z.compress(np.array([x or 0 for x in doc_ids], "<i8").tobytes() + np.array(lengths, "<u8").tobytes() + np.packbits(nulls, bitorder="little").tobytes())
     index, body, at = [], [], 0
     for k in range(0, len(ids), chunk):
         part = ids[k : k + chunk]
@@ -82,6 +83,7 @@ class PlaneFile:
         raw = self.z.decompress(self.data[at : at + table])
         self.doc_ids = np.frombuffer(raw, "<i8", n_docs)
         self.lengths = np.frombuffer(raw, "<u8", n_docs, 8 * n_docs).astype(np.int64)
+        self.nulls = np.unpackbits(np.frombuffer(raw, np.uint8, offset=16 * n_docs), count=n_docs, bitorder="little").astype(bool)
         self.index_at = at + table
         self.planes = self.width * (8 if self.bits else 1)
         self.body_at = self.index_at + self.n_chunks * (ENTRY.size + 4 * self.planes)
@@ -111,7 +113,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, path: str | N
 
     Documents are dealt by ranges of doc_id and sorted within a range; each task writes files part-RANGE-NUMBER.ids of
     about file_ids ids at most (one document more at the end), so memory doesn't grow with a range. Null ids come
-    first; null texts are empty and give end_id alone; rows with equal ids follow one another by text. An empty table
+    first and stay null, whatever the other ids; null texts are empty and give end_id alone; rows with equal ids follow one another by text. An empty table
     writes no file. A task that runs again writes the same names and bytes.
     """
     at = path or fresh_dir(docs.sparkSession, "tokens")
@@ -121,7 +123,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, path: str | N
         enc = encoder(tokenizer, memo)
         part, number = TaskContext.get().partitionId(), 0
         end = struct.pack("<I", end_id)
-        doc_ids: list[int] = []
+        doc_ids: list[int | None] = []
         lengths: list[int] = []
         coded: list[bytes] = []
         held = 0
@@ -129,7 +131,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, path: str | N
         def close() -> pa.RecordBatch:
             nonlocal doc_ids, lengths, coded, held, number
             write_shared(f"{at}/files/part-{part:07d}-{number:06d}.ids", pack(doc_ids, lengths, np.frombuffer(b"".join(coded), "<u4"), chunk, bits))
-            out = pa.RecordBatch.from_pydict({"file": [f"part-{part:07d}-{number:06d}.ids"], "n_docs": [len(doc_ids)], "n_ids": [held]}, schema=pa.schema([("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
+            kinds = pa.schema([("part", pa.int64()), ("number", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
+            out = pa.RecordBatch.from_pydict({"part": [part], "number": [number], "n_docs": [len(doc_ids)], "n_ids": [held]}, schema=kinds)
             doc_ids, lengths, coded, held, number = [], [], [], 0, number + 1
             return out
 
@@ -137,7 +140,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, path: str | N
             texts, keys = text_bytes(b), b.column(0).to_pylist()
             for rows in slices(texts):
                 for k, ids in zip(rows, enc.encode([texts[k] for k in rows]), strict=True):
-                    doc_ids.append(NULL_ID if keys[k] is None else keys[k])
+                    doc_ids.append(keys[k])
                     lengths.append(len(ids) // 4 + 1)
                     coded += [ids, end]
                     held += lengths[-1]
@@ -146,17 +149,21 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, path: str | N
         if doc_ids:
             yield close()
 
-    ranged.mapInArrow(run, "file string, n_docs long, n_ids long").write.parquet(f"{at}/manifest")
+    ranged.mapInArrow(run, MANIFEST).write.parquet(f"{at}/manifest")
     return at
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, from the files in the folder.
 
-    start is the file's own start, a running sum over the manifest (a row for each file), plus the place in the file.
+    start is the ids of all ranges before the file's, of the files before it in its range, and before the place in it.
+    Files are summed up within their range; only the totals, a row for each range, are summed up in one task.
     """
-    manifest = spark.read.schema("file string, n_docs long, n_ids long").parquet(f"{path}/manifest")
-    before = manifest.select("file", (F.sum("n_ids").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_ids")).alias("before"))
+    manifest = spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
+    totals = manifest.groupBy(F.col("part").alias("of")).agg(F.sum("n_ids").alias("total"))
+    ranges = totals.select("of", (F.sum("total").over(Window.orderBy("of").rowsBetween(Window.unboundedPreceding, 0)) - F.col("total")).alias("ranges"))
+    inside = F.sum("n_ids").over(Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_ids")
+    before = manifest.select("part", "number", inside.alias("files")).join(ranges, F.col("part") == F.col("of")).select(F.format_string("part-%07d-%06d.ids", "part", "number").alias("file"), (F.col("ranges") + F.col("files")).alias("before"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -168,7 +175,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 view = memoryview(ids)
                 crc = [zlib.crc32(view[4 * x : 4 * y]) for x, y in zip(starts.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(crc), pa.string()), pa.array(f.doc_ids, pa.int64(), mask=f.doc_ids == NULL_ID), pa.array(starts, pa.int64()), pa.array(f.lengths, pa.int64()), pa.array(crc, pa.int64())],
+                    [pa.array([name] * len(crc), pa.string()), pa.array(f.doc_ids, pa.int64(), mask=f.nulls), pa.array(starts, pa.int64()), pa.array(f.lengths, pa.int64()), pa.array(crc, pa.int64())],
                     names=["at", "doc_id", "within", "n_tokens", "ids_crc32"],
                 )
 

@@ -66,8 +66,8 @@ def test_planes_round_trip(bits):
     rng = np.random.default_rng(0)
     for n, top in ((0, 1), (1, 1), (1000, 50257), (70_000, 300), (5, 2**32 - 1)):
         ids = rng.integers(0, top, n, dtype=np.uint32)
-        f = token_planes.PlaneFile(token_planes.pack([7, token_planes.NULL_ID], [n, 0], ids, chunk=512, bits=bits))
-        assert (f.ids() == ids).all() and f.doc_ids.tolist() == [7, token_planes.NULL_ID] and f.lengths.tolist() == [n, 0]
+        f = token_planes.PlaneFile(token_planes.pack([7, None], [n, 0], ids, chunk=512, bits=bits))
+        assert (f.ids() == ids).all() and f.doc_ids.tolist() == [7, 0] and f.nulls.tolist() == [False, True] and f.lengths.tolist() == [n, 0]
         a, b = n // 3, n // 2
         assert (f.ids(a, b) == ids[a:b]).all()
     with pytest.raises(ValueError):
@@ -86,6 +86,9 @@ def test_written_tokens(spark, bits):
         expect.append((r.doc_id, start, len(ids) + 1, zlib.crc32(packed([*ids, 0]))))
         start += len(ids) + 1
     assert sorted(map(tuple, got), key=lambda x: x[1]) == expect
+    low = spark.createDataFrame([(-(2**63), "least"), (None, "null"), (2**63 - 1, "most")], "doc_id LONG, text STRING")
+    ids = {r.doc_id: r.start for r in token_planes.read_tokens(spark, token_planes.write_tokens(low, BYTE)).collect()}
+    assert sorted(ids, key=ids.get) == [None, -(2**63), 2**63 - 1]
     none = token_planes.write_tokens(empty(spark), BYTE)
     assert token_planes.read_tokens(spark, none).count() == 0
 
