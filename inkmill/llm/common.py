@@ -70,6 +70,11 @@ def map_rows(df: DataFrame, cols: list, fn: Callable[[Iterator[pa.RecordBatch]],
     return df.select(*cols).mapInArrow(fn, schema)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """df with its columns named c0, c1, ...: names with dots, or that clash with an operator's own, do no harm."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+
+
 def held_out(doc_id: Column, modulus: int, rest: int) -> Column:
     """True where crc32 of the id as text leaves `rest`; a null id is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == rest, F.lit(False))

@@ -3,154 +3,263 @@
 from __future__ import annotations
 
 import math
-from collections import Counter, OrderedDict
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections import OrderedDict
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from hashlib import blake2b
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, held_out, map_rows, text_bytes
-from .license_scan import to_words
+from .common import cut, held, held_out, map_rows, numbered, text_bytes
+from .license_scan import TO_WORDS, to_words
+from .units import ranges, slices
 
-#: Bound of what is learned from: labelled examples of either class.
-EXAMPLES = 20_000
+#: Bounds of what is learned from: labelled examples of either class, and the distinct terms of all of them, summed up.
+EXAMPLES, POSTINGS = 20_000, 32_000_000
 #: Examples of one index block, terms kept as whole rows too, neighbours that vote, texts whose score a task remembers.
 BLOCK, DENSE, NEIGHBOURS, SEEN = 64, 512, 15, 2_000
 #: Weight of a term that tells nothing about the classes, beside one that tells all (1).
 FLOOR = 1e-6
+#: Relative error of single-precision sums of some hundred positive terms, with room to spare.
+SLACK = 5e-5
+#: Length that the terms of a query that aren't read at first may have.
+NEAR = 0.01
+#: Lengths of what an example's terms have beyond its shorter and its longer head.
+TAILS = (0.01, 0.001)
+#: Bytes of text coded at once, queries whose frequent terms are weighed at once.
+SLICE, QUERIES = 8_000_000, 192
+
+
+def words_of(texts: list[bytes]) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """(number of the text, word) of all words of texts, in order."""
+    flat = b" ".join([x.translate(TO_WORDS) for x in texts])
+    a = np.frombuffer(flat, np.uint8)
+    inside = a != 32
+    new = inside.copy()
+    new[1:] &= ~inside[:-1]
+    at = np.flatnonzero(new)
+    size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    offsets = np.append(np.cumsum(inside, dtype=np.int32)[at] - 1, np.count_nonzero(inside)).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(a[inside])])
+    return np.searchsorted(np.cumsum(size) - size, at, "right") - 1, words.dictionary_encode()
+
+
+def term_numbers(texts: list[bytes], vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, terms, counts): the terms of text k, ascending by number, and how often each occurs, at first[k] .. first[k + 1] - 1.
+
+    Words that the vocabulary (binary, each once) doesn't have are left out.
+    """
+    of, words = words_of(texts)
+    number = pc.fill_null(pc.index_in(words.dictionary, value_set=vocabulary), -1).to_numpy()[words.indices.to_numpy()]
+    known, n = number >= 0, max(len(vocabulary), 1)
+    pair, counts = np.unique(of[known] * n + number[known], return_counts=True)
+    of, terms = np.divmod(pair, n)
+    return np.searchsorted(of, np.arange(len(texts) + 1)), terms, counts
 
 
-def tfidf(terms: dict[bytes, int], idf: np.ndarray, counts: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """(term numbers, weights) of a text's counts: (1 + log count) times idf, at length 1."""
-    t = np.fromiter((terms[w] for w in counts), np.int64, len(counts))
-    c = np.fromiter(counts.values(), np.float64, len(counts))
-    order = np.argsort(t)
-    t, c = t[order], c[order]
-    w = (1 + np.log(c)) * idf[t]
-    return t, w / np.sqrt((w * w).sum()) if len(w) else w
+def tfidf(first: np.ndarray, terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """The terms' weights: (1 + log count) times idf, each text's at length 1."""
+    w = (1 + np.log(counts)) * idf[terms]
+    size = np.diff(first)
+    w /= np.repeat(np.sqrt(np.bincount(np.repeat(np.arange(len(size), dtype=np.int32), size), w * w, len(size))), size)
+    return w
 
 
-def ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """The numbers start[k]..end[k] - 1 of all k, one after another."""
-    size = end - start
-    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+def stretches(x: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """x[start[k] : end[k]] of all k, one after another."""
+    if not len(start):
+        return x[:0]
+    raw = x.view(f"V{x.itemsize}")  # numpy joins records as bytes without looking at their fields
+    return np.concatenate([raw[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]).view(x.dtype)
+
+
+def parts(first: np.ndarray, size: int = 1_000_000) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges of rows that hold about `size` entries each, one row at least; row k begins at first[k]."""
+    a = 0
+    while a + 1 < len(first):
+        b = max(a + 1, int(np.searchsorted(first, first[a] + size, "right")) - 1)
+        yield a, b
+        a = b
 
 
-@dataclass
 class BlockMaxIndex:
-    """Postings by term, cut into runs of BLOCK examples that each know the term's greatest weight in them."""
-
-    terms: dict[bytes, int]
-    idf: np.ndarray
-    ids: np.ndarray  # the examples' doc_ids
-    labels: np.ndarray
-    weights: np.ndarray | tuple  # (examples, terms), or (example, term, weight) of those that aren't 0; dropped once the postings are made
-    example: np.ndarray = field(init=False)  # by posting, in order of term and example
-    weight: np.ndarray = field(init=False)
-    post: np.ndarray = field(init=False)  # first posting of each term, and the end
-    most: np.ndarray = field(init=False)  # greatest weight of each term
-    run: np.ndarray = field(init=False)  # first run of each term, and the end
-    block: np.ndarray = field(init=False)  # by run
-    top: np.ndarray = field(init=False)
-    own: tuple = field(init=False)  # the same by example: first place of each and the end, terms, weights
-    row: np.ndarray = field(init=False)  # by term, its row of dense (weights by example), -1 for a rarer term
-    dense: np.ndarray = field(init=False)
-    query: np.ndarray = field(init=False)  # by term; all 0 between searches
-
-    def __post_init__(self) -> None:
-        if isinstance(self.weights, tuple):
-            example, term, weight = self.weights
-        else:
-            example, term = np.nonzero(self.weights)
-            weight = self.weights[example, term]
-        self.weights = np.zeros((0, 0))
-        example, term = example.astype(np.int32), term.astype(np.int32)
-        order = np.lexsort((term, example))
-        self.own = np.searchsorted(example[order], np.arange(len(self.ids) + 1)), term[order], weight[order]
-        order = np.lexsort((example, term))
-        self.example, self.weight, term = example[order], weight[order], term[order]
-        self.post = np.searchsorted(term, np.arange(len(self.terms) + 1))
+    """Postings by term, cut into runs of BLOCK examples that each know the term's greatest weight in them.
+
+    Given are the examples' terms and their counts, those of example k at first[k] .. first[k + 1] - 1. A term of no more
+    than BLOCK postings has no runs, as each of them would be one. Frequent terms are also kept as whole rows, one weight
+    an example. Postings and rows are in single precision: they find the examples that may be among the nearest, whose
+    cosines are then taken from their own terms. These are kept by falling weight; an example's heads are what carries
+    all of its length but TAILS.
+    """
+
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, first: np.ndarray, terms: np.ndarray, counts: np.ndarray, idf: np.ndarray):
+        self.ids, self.labels, self.first, self.idf = ids, labels, first, idf
+        self.n = n = len(ids)
+        n_terms = len(idf)
+        self.blocks = -(-n // BLOCK)
+        self.post = np.append(0, np.cumsum(np.bincount(terms, minlength=n_terms)))  # first posting of each term, and the end
+        most = int(counts.max(initial=1))
+        self.factor = np.append(0.0, 1 + np.log(np.arange(1, most + 1)))  # by count
+        self.own = np.empty(len(terms), [("of", "<i4"), ("count", "<u2" if most < 1 << 16 else "<u4")])
+        self.scale = np.zeros(n)  # by example: what brings it to length 1
+        self.heads = [np.zeros(n, np.int64) for _ in TAILS]
+        # some examples, then some terms at a time: what sorting needs beside the result stays small
+        for a, b in parts(first):
+            size = np.diff(first[a : b + 1])
+            of, own = np.repeat(np.arange(b - a), size), self.own[first[a] : first[b]]
+            own["of"], own["count"] = terms[first[a] : first[b]], counts[first[a] : first[b]]
+            w = self.factor[own["count"]] * idf[own["of"]]
+            self.scale[a:b] = 1 / np.sqrt(np.maximum(np.bincount(of, w * w, b - a), 1e-300))
+            w *= self.scale[a:b][of]
+            order = np.lexsort((-w, of))
+            own[:] = own[order]
+            square = np.append(0, np.cumsum(w[order] ** 2))
+            left = square[np.cumsum(size)][of] - square[:-1]  # of the squared length, from each term on
+            for head, tail in zip(self.heads, TAILS, strict=True):
+                head[a:b] = np.bincount(of[left > tail**2 - 1e-9], minlength=b - a)
+        self.postings = np.empty(len(terms), [("of", "<u2" if n < 1 << 16 else "<u4"), ("w", "<f4")])
+        self.most = np.zeros(n_terms, np.float32)  # greatest weight of each term
+        runs, block, top = [np.zeros(1, np.int64)], [], []
+        for a, b in parts(self.post):
+            at = np.flatnonzero((self.own["of"] >= a) & (self.own["of"] < b))
+            at = at[np.argsort(self.own["of"][at], kind="stable")]
+            own, to, example = self.own[at], self.postings[self.post[a] : self.post[b]], np.searchsorted(first, at, "right") - 1
+            term = own["of"]
+            to["of"], to["w"] = example, self.factor[own["count"]] * idf[term] * self.scale[example]
+            np.maximum.at(self.most, term, to["w"])
+            at = np.flatnonzero(np.diff(self.post)[term] > BLOCK)
+            term, to, example = term[at], to[at], example[at] // BLOCK
+            new = np.ones(len(at), bool)
+            new[1:] = (term[1:] != term[:-1]) | (example[1:] != example[:-1])
+            start = np.flatnonzero(new)
+            block.append(example[start].astype(np.int32))
+            top.append(np.maximum.reduceat(to["w"], start) if len(start) else np.zeros(0, np.float32))
+            runs.append(np.bincount(term[start] - a, minlength=b - a))
+        self.block, self.top = (np.concatenate([np.zeros(0, np.float32), *x]) for x in (block, top))  # by run
+        self.block = self.block.astype(np.int32)
+        self.run = np.cumsum(np.concatenate(runs))  # first run of each term, and the end
         often = np.argsort(-np.diff(self.post), kind="stable")[:DENSE]
-        often = often[np.diff(self.post)[often] * 16 > len(self.ids)]
-        self.row = np.full(len(self.terms), -1)
+        often = often[np.diff(self.post)[often] * 16 > n]
+        self.row = np.full(n_terms, -1)  # by term, its row of dense; -1 for a rarer term
         self.row[often] = np.arange(len(often))
-        self.dense = np.zeros((len(often), len(self.ids)))
+        self.dense = np.zeros((len(often), self.blocks * BLOCK), np.float32)
         for r, k in enumerate(often.tolist()):
-            at = slice(self.post[k], self.post[k + 1])
-            self.dense[r, self.example[at]] = self.weight[at]
-        block = self.example // BLOCK
-        new = np.ones(len(term), bool)
-        new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
-        start = np.flatnonzero(new)
-        self.block = block[start]
-        self.top = np.maximum.reduceat(self.weight, start) if len(start) else np.zeros(0)
-        self.run = np.searchsorted(term[start], np.arange(len(self.terms) + 1))
-        self.query, self.most = np.zeros(len(self.terms)), np.zeros(len(self.terms))
-        np.maximum.at(self.most, term[start], self.top)
-
-    def vector(self, counts: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-        return tfidf(self.terms, self.idf, counts)
+            some = self.postings[self.post[k] : self.post[k + 1]]
+            self.dense[r, some["of"]] = some["w"]
+        self.query = np.zeros(n_terms)  # by term, weight in the query times idf; all 0 between searches
+
+    def nearest_of(self, first: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, without: list[int] | None = None) -> list[list[tuple[float, int]]]:
+        """nearest() of many queries, given as the examples are; what frequent terms add is one matrix product for some.
+
+        Queries go together by the most frequent term they have, which mostly tells their language, so that they share
+        the rows that a product needs.
+        """
+        size = np.diff(first)
+        row = self.row[terms]
+        lead = np.full(len(size), len(self.dense))
+        np.minimum.at(lead, np.repeat(np.arange(len(size)), size)[row >= 0], row[row >= 0])
+        order = np.argsort(lead, kind="stable")
+        out: list = [[]] * len(size)
+        for q in range(0, len(order), QUERIES):
+            some = order[q : q + QUERIES]
+            at = ranges(first[some], size[some])
+            of, row_, w = np.repeat(np.arange(len(some)), size[some]), row[at], weights[at]
+            of, row_, w = of[row_ >= 0], row_[row_ >= 0], w[row_ >= 0]
+            used, column = np.unique(row_, return_inverse=True)
+            frequent = np.zeros((len(some), len(used)), np.float32)
+            frequent[of, column] = w
+            common = frequent @ self.dense[used]
+            for j, part in zip(some.tolist(), common, strict=True):
+                own = slice(first[j], first[j + 1])
+                out[j] = self._nearest(terms[own], weights[own], k, -1 if without is None else without[j], part)
+        return out
 
     def nearest(self, t: np.ndarray, w: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
-        """The k greatest (cosine, example), ties to the smaller example; exact.
+        """The k greatest (cosine, example) above 0, ties to the smaller example; exact. w is at length 1.
 
-        Terms are read by falling upper bound, so each example has a part of its cosine. What the terms left can add, by
-        their greatest weights over all or in an example's block, rules out the examples that can't reach the k-th part
-        so far; once they are few, the cosines of the others are taken from the examples' own terms.
+        Frequent terms come first, then the rest by falling weight, so each example has a part of its cosine. The k-th
+        greatest of the best parts of as many groups of examples is a floor for the k-th cosine. What the terms left can
+        add is bounded by their greatest weights over all or in an example's block, and by Cauchy and Schwarz. Examples
+        that can't reach the floor are out; once they are few, the others' cosines are taken from their own terms, from
+        their heads first and whole where the head leaves them in question.
         """
-        if not len(t):
+        return self.nearest_of(np.array([0, len(t)]), t, w, k, [without])[0]
+
+    def facts(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.ids, self.labels
+
+    def _cosines(self, some: np.ndarray, start: np.ndarray | int, end: np.ndarray) -> np.ndarray:
+        """What the terms start[i] .. end[i] - 1 of example some[i] add to its cosine with the query that is set."""
+        at, size = self.first[some], end - start
+        own = stretches(self.own, at + start, at + end)
+        products = np.take(self.query, own["of"], mode="clip") * np.take(self.factor, own["count"], mode="clip")
+        if len(size) and size.min() > 0:
+            return np.add.reduceat(products, np.cumsum(size) - size) * self.scale[some]
+        return np.bincount(np.repeat(np.arange(len(some)), size), products, len(some)) * self.scale[some]
+
+    def _left(self, t: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """By block, what these terms can add to an example's cosine at most."""
+        runs = self.run[t + 1] - self.run[t]
+        at = ranges(self.run[t], runs)
+        out = np.bincount(self.block[at], np.repeat(w, runs) * self.top[at], self.blocks)
+        few = np.flatnonzero(runs == 0)
+        postings = stretches(self.postings, self.post[t[few]], self.post[t[few] + 1])
+        size = self.post[t[few] + 1] - self.post[t[few]]
+        return out + np.bincount(postings["of"] // BLOCK, np.repeat(w[few], size) * postings["w"], self.blocks)
+
+    def _nearest(self, t: np.ndarray, w: np.ndarray, k: int, without: int, part: np.ndarray) -> list[tuple[float, int]]:
+        if not len(t) or not self.n:
             return []
-        order = np.argsort(-w * self.most[t], kind="stable")
-        t, w = t[order], w[order]
-        rest = np.r_[np.cumsum((w * self.most[t])[::-1])[::-1], 0.0]
-        size = self.post[t + 1] - self.post[t]
-        read, total = np.r_[0, np.cumsum(size)], int(size.sum())
-        n = len(self.ids)
-        length = len(self.example) / max(n, 1)
-        part = np.zeros(n)
-        a = 0
+        rare = np.flatnonzero(self.row[t] < 0)
+        rare = rare[np.argsort(-w[rare], kind="stable")]
+        rt, rw = t[rare], w[rare]
+        rest = np.append(np.cumsum((rw * self.most[rt])[::-1])[::-1], 0.0)
+        length = np.sqrt(np.append(np.cumsum((rw * rw)[::-1])[::-1], 0.0))  # of the query's terms from here on
+        size = self.post[rt + 1] - self.post[rt]
+        read = np.append(0, np.cumsum(size))
+        # terms that leave a tenth of the query's length at most; then, should the examples in question be too many, more
+        a, b = 0, int(np.argmax(length <= NEAR))
         while True:
-            # the next terms: one at least, as many postings as were read before
-            b = min(len(t), max(a + 1, int(np.searchsorted(read, max(2 * read[a], n)))))
-            row = self.row[t[a:b]]
-            few = np.flatnonzero(row < 0) + a
-            at = ranges(self.post[t[few]], self.post[t[few] + 1])
-            part += np.bincount(self.example[at], np.repeat(w[few], size[few]) * self.weight[at], n)
-            for x, r in zip(w[a:b].tolist(), row.tolist(), strict=True):
-                if r >= 0:
-                    part += x * self.dense[r]
-            a = b
+            if b > a:
+                postings = stretches(self.postings, self.post[rt[a:b]], self.post[rt[a:b] + 1])
+                part[: self.n] += np.bincount(postings["of"], np.repeat(rw[a:b], size[a:b]) * postings["w"], self.n)
+                a = b
             if without >= 0:
                 part[without] = 0.0
-            left = total - read[a]
-            least = np.partition(part, n - k)[n - k] if n > k else 0.0
-            if a == len(t):
-                some = np.flatnonzero((part > 0) & (part >= least - 1e-12))
-                score = part[some]
-                break
-            if rest[a] >= least:
-                continue
-            some = np.flatnonzero(part >= least - rest[a] - 1e-12)
-            if len(some) * length > left:
-                runs = ranges(self.run[t[a:]], self.run[t[a:] + 1])
-                more = np.bincount(self.block[runs], np.repeat(w[a:], self.run[t[a:] + 1] - self.run[t[a:]]) * self.top[runs], -(-n // BLOCK))
-                some = some[part[some] + more[some // BLOCK] >= least - 1e-12]
-            if len(some) * length <= left:
-                first, term, weight = self.own
-                self.query[t] = w
-                at = ranges(first[some], first[some + 1])
-                score = np.add.reduceat(self.query[term[at]] * weight[at], np.r_[0, np.cumsum(first[some + 1] - first[some])[:-1]])
-                self.query[t] = 0.0
-                break
-        best = [(round(s, 12), i) for s, i in zip(score.tolist(), some.tolist(), strict=True) if i != without]
-        best.sort(key=lambda x: (-x[0], x[1]))
-        del best[k:]
-        return best
+            # groups: every blocks-th example together, which numpy folds fastest
+            best = part.reshape(BLOCK, -1).max(axis=0) if self.blocks > k else part
+            least = float(np.partition(best, len(best) - k)[len(best) - k]) * (1 - SLACK) if len(best) > k else 0.0
+            left = int(read[-1] - read[a])
+            low = least - min(rest[a], length[a]) * (1 + SLACK)
+            if low > 0 or not left:
+                some = np.flatnonzero(part >= max(low, 1e-30))
+                have = part[some]
+                more = np.minimum(rest[a], length[a] * np.sqrt(np.maximum(1 - have**2 / max(1 - length[a] ** 2, 1e-12), 0))) * (1 + SLACK) + 1e-9
+                ok = have * (1 + SLACK) + more >= least
+                some, more = some[ok], more[ok]
+                if left and int(self.heads[0][some].sum()) > left:
+                    inside = self._left(rt[a:], rw[a:]) * (1 + SLACK)
+                    some = some[part[some] * (1 + SLACK) + np.minimum(inside[some // BLOCK], more) >= least]
+                if not left or int(self.heads[0][some].sum()) <= left + 5_000:
+                    break
+            b = min(len(rt), max(a + 1, int(np.searchsorted(read, 2 * read[a] + 4000))))
+        self.query[t] = w * self.idf[t]
+        score, start = np.zeros(len(some)), np.zeros(len(some), np.int64)
+        for tail, head in zip(TAILS, self.heads, strict=True):
+            if len(some) > k:
+                score, start = score + self._cosines(some, start, head[some]), head[some]
+                ok = score + tail + 1e-9 >= np.partition(score, len(some) - k)[len(some) - k]
+                some, score, start = some[ok], score[ok], start[ok]
+        score += self._cosines(some, start, self.first[some + 1] - self.first[some])
+        self.query[t] = 0.0
+        best = sorted([(-round(s, 12), i) for s, i in zip(score.tolist(), some.tolist(), strict=True) if i != without and s > 0])[:k]
+        return [(-s, i) for s, i in best]
 
 
 def vote(near: list[tuple[float, int]], labels: np.ndarray, prior: float) -> float:
@@ -179,34 +288,58 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
 
 @dataclass
 class Model:
-    index: BlockMaxIndex
+    shared: Broadcast | None  # what index_of() makes the index from; None without examples of both classes
+    name: str
     beta: np.ndarray
     prior: float  # share of label 1 among the labelled rows
     bare: float  # score of a text without any term
 
 
-def term_counts(docs: DataFrame, keep: frozenset | None) -> DataFrame:
-    """term, n_1, n_0: in how many of docs (text, y) with y = 1 and y = 0 a term stands; only terms of `keep` if given."""
+def index_of(shared: Broadcast, name: str) -> tuple[pa.Array, BlockMaxIndex]:
+    """(vocabulary, index), built once in each Python worker."""
+
+    def build() -> tuple:
+        x = shared.value
+        if hasattr(shared, "_path"):  # the worker may read it again from there: no need to keep it beside the index
+            vars(shared).pop("_value", None)
+        index = BlockMaxIndex(x["ids"], x["labels"], x["first"], x["terms"], x["counts"], x["idf"])
+        pa.default_memory_pool().release_unused()
+        return x["vocabulary"], index
+
+    return held(("toxicity", name), build)
+
+
+def class_counts(docs: DataFrame) -> DataFrame:
+    """term, n_1, n_0: in how many of docs (text, y) with y = 1 and y <> 1 a term stands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one: Counter = Counter()
-        zero: Counter = Counter()
         for b in batches:
-            for text, y in zip(text_bytes(b), b.column(1).to_pylist(), strict=True):
-                words = to_words(text)
-                (one if y == 1 else zero).update(set(words) if keep is None else keep.intersection(words))
-            if keep is None and len(one) + len(zero) > 200_000:
-                yield rows(one, zero)
-                one, zero = Counter(), Counter()
-        yield rows(one, zero)
-
-    def rows(one: Counter, zero: Counter) -> pa.RecordBatch:
-        terms = list(one.keys() | zero.keys())
-        return pa.RecordBatch.from_arrays([pa.array(terms, pa.binary()), pa.array([one[t] for t in terms], pa.int64()), pa.array([zero[t] for t in terms], pa.int64())], names=["term", "n_1", "n_0"])
+            texts, y = text_bytes(b), b.column(1).to_numpy(zero_copy_only=False) == 1
+            for rows in slices(texts, SLICE):
+                of, words = words_of([texts[k] for k in rows])
+                n = len(words.dictionary)
+                of, term = np.divmod(np.unique(of * max(n, 1) + words.indices.to_numpy()), max(n, 1))
+                one = y[np.array(rows)][of]
+                yield pa.RecordBatch.from_arrays([words.dictionary, *(pa.array(np.bincount(term[c], minlength=n), pa.int64()) for c in (one, ~one))], names=["term", "n_1", "n_0"])
 
     return map_rows(docs, ["text", "y"], run, "term binary, n_1 long, n_0 long").groupBy("term").agg(F.sum("n_1").alias("n_1"), F.sum("n_0").alias("n_0"))
 
 
+def document_counts(docs: DataFrame, vocabulary: pa.Array) -> DataFrame:
+    """term (its number), n: in how many of docs (text) a term of the vocabulary stands; a task sends each term once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(vocabulary), np.int64)
+        for b in batches:
+            texts = text_bytes(b)
+            for rows in slices(texts, SLICE):
+                total += np.bincount(term_numbers([texts[k] for k in rows], vocabulary)[1], minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["term", "n"])
+
+    return map_rows(docs, ["text"], run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+
 def least_shingle(text: bytes, words: int = 3) -> int:
     """The smallest hash of the text's word shingles; near copies mostly share it."""
     import xxhash
@@ -217,8 +350,9 @@ def least_shingle(text: bytes, words: int = 3) -> int:
 
 def with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        keys = np.array([least_shingle(x) for x in text_bytes(b)], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.int64())], names=["doc_id", "text", "y", "key"])
+        texts = text_bytes(b)
+        keys = np.array([least_shingle(x) for x in texts], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.int64()), pa.array([len(set(to_words(x))) for x in texts], pa.int64())], names=["doc_id", "text", "y", "key", "n_terms"])
 
 
 def telling(a: np.ndarray, b: np.ndarray, n_1: int, n_0: int) -> np.ndarray:
@@ -233,129 +367,163 @@ def telling(a: np.ndarray, b: np.ndarray, n_1: int, n_0: int) -> np.ndarray:
     return np.maximum(phi2 - 1 / (n - 1), 0.0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neighbours: int = NEIGHBOURS) -> Model:
-    """Learns from labels (doc_id, toxic) whose id isn't held out, joined to docs (doc_id, text).
-
-    Bounded by its parameter: at most `examples` rows of either class, those with the smallest hash of their id (of
-    near copies with one label one counts). All their terms are indexed, at any number of examples; a term weighs its
-    IDF times what it tells about the class. Document frequencies for the IDF are counted over all of docs. Labels that are null or whose id is null or not in docs are left out; an id
-    labelled twice is toxic if one of the labels says so. Without examples every score is 0.
-    """
+def chosen_examples(docs: DataFrame, labels: DataFrame, examples: int, postings: int) -> tuple[DataFrame, dict[bool, int]]:
+    """(the examples: doc_id, text, y; how many labelled rows each class has), see fit()."""
     y = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"), 5, 0)).groupBy("doc_id").agg(F.max("toxic").alias("y"))
-    have = cut(y.join(docs.select("doc_id").distinct(), "doc_id", "left_semi"), "labelled")
+    have = cut(y.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.when(F.col("y") == 1, 1).otherwise(0).alias("y")), "labelled")
     order = F.xxhash64(F.lit(8), "doc_id")
-    chosen = have.where("y = 1").orderBy(order, "doc_id").limit(examples).unionByName(have.where("y <> 1").orderBy(order, "doc_id").limit(examples))
-    size = {r["y"] == 1: r["n"] for r in have.groupBy(F.when(F.col("y") == 1, 1).otherwise(0).alias("y")).agg(F.count("*").alias("n")).collect()}
-    total = sum(size.values())
+    some = have.where("y = 1").orderBy(order, "doc_id").limit(examples).unionByName(have.where("y = 0").orderBy(order, "doc_id").limit(examples))
+    size = {r["y"] == 1: r["n"] for r in have.groupBy("y").agg(F.count("*").alias("n")).collect()}
     # at most 2 * examples rows of two numbers: a bounded side
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    texts = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    keyed = cut(map_rows(texts, ["doc_id", "text", "y"], with_key, "doc_id long, text string, y int, key long, n_terms long"), "examples")
     # of near copies with one label a single example stays, or their every word would look like a sign of it
-    keyed = map_rows(texts, ["doc_id", "text", "y"], with_key, "doc_id long, text string, y int, key long")
-    sample = cut(keyed.groupBy("key", "y").agg(F.min_by(F.struct("doc_id", "text"), "doc_id").alias("one")).select("one.doc_id", "one.text", "y"), "examples")
-    n_1, n_0 = (sample.where(c).count() for c in ("y = 1", "y <> 1"))
-    empty = BlockMaxIndex({}, np.zeros(0), np.zeros(0, np.int64), np.zeros(0), np.zeros((0, 0)))
+    single = keyed.groupBy("key", "y").agg(F.min(F.struct("doc_id", "n_terms")).alias("one"))
+    # again 2 * examples rows at most
+    rows = single.select("one.*", "y", F.xxhash64(F.lit(8), "one.doc_id").alias("order")).toArrow().sort_by([("order", "ascending"), ("doc_id", "ascending")])
+    n, one = rows.column("n_terms").to_numpy(), rows.column("y").to_numpy() == 1
+    fits = np.where(one, np.cumsum(n * one), np.cumsum(n * ~one)) <= postings // 2
+    kept = docs.sparkSession.createDataFrame(pa.table({"doc_id": rows.column("doc_id").filter(pa.array(fits))}))
+    return keyed.join(F.broadcast(kept), "doc_id").select("doc_id", "text", "y"), size
+
+
+def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neighbours: int = NEIGHBOURS, postings: int = POSTINGS) -> Model:
+    """Learns from labels (doc_id, toxic) whose id isn't held out, joined to docs (doc_id, text).
+
+    Bounded by its parameters: at most `examples` rows of either class, those with the smallest hash of their id (of
+    near copies with one label one counts), and of these as many as have `postings` // 2 distinct terms in all. All
+    terms of the examples are indexed, at any number of them; a term weighs its IDF times what it tells about the class.
+    Document frequencies for the IDF are counted over all of docs. Labels that are null or whose id is null or not in
+    docs are left out; an id labelled twice is toxic if one of the labels says so. Without examples of both classes
+    every score is the share of label 1.
+
+    Tasks count the terms and take the examples' vectors; the driver holds the vectors once, as numbers, and broadcasts
+    them: `postings` pairs of term and count at most, beside the vocabulary. Tasks build the index.
+    """
+    sample, size = chosen_examples(docs, labels, examples, postings)
+    total = sum(size.values())
     prior = size.get(True, 0) / total if total else 0.0
-    if not n_1 or not n_0:
-        return Model(empty, np.zeros(3), prior, prior)
-    found = term_counts(sample, None).orderBy("term").toArrow()
-    names = found.column("term").to_pylist()
-    terms = {t: k for k, t in enumerate(names)}
-    if not terms:
-        return Model(empty, np.zeros(3), prior, prior)
+    n_1, n_0 = (sample.where(F.col("y") == k).count() for k in (1, 0))
+    found = class_counts(sample).orderBy("term").toArrow().combine_chunks() if n_1 and n_0 else None
+    if found is None or not len(found):
+        return Model(None, "", np.zeros(3), prior, prior)
+    vocabulary = found.column("term").chunk(0)
     tells = telling(found.column("n_1").to_numpy().astype(float), found.column("n_0").to_numpy().astype(float), n_1, n_0)
-    met = term_counts(docs.select("text", F.lit(0).alias("y")), frozenset(names)).select("term", "n_0").orderBy("term").toArrow()
-    df = np.zeros(len(terms))
-    df[[terms[t] for t in met.column("term").to_pylist()]] = met.column("n_0").to_numpy()
-    n_docs = docs.count()
-    idf = (np.log((n_docs + 1) / (df + 1)) + 1) * (tells + FLOOR)
-    del names, found, met
+    del found
+    met = document_counts(docs, vocabulary).toArrow()
+    df = np.zeros(len(vocabulary))
+    df[met.column("term").to_numpy()] = met.column("n").to_numpy()
+    del met
+    idf = (np.log((docs.count() + 1) / (df + 1)) + 1) * (tells + FLOOR)
+    # telling terms first: what searches look up lies together
+    order = np.argsort(-idf, kind="stable")
+    vocabulary, idf = vocabulary.take(pa.array(order)), idf[order]
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [tfidf(terms, idf, Counter(to_words(x))) for x in text_bytes(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([t for t, _ in got], pa.list_(pa.int64())), pa.array([w for _, w in got], pa.list_(pa.float64()))], names=["doc_id", "y", "terms", "weights"])
-
-    rows = map_rows(sample, ["doc_id", "text", "y"], vectors, "doc_id long, y int, terms array<long>, weights array<double>").toArrow().sort_by("doc_id").combine_chunks()
-    labels_ = (rows.column("y").to_numpy() == 1).astype(float)
-    size_ = pc.list_value_length(rows.column("terms")).to_numpy()
-    by = np.where(labels_ == 1, prior * len(labels_) / n_1, (1 - prior) * len(labels_) / n_0)
-    bare, some = size_ == 0, size_ > 0
-    ids, flat = rows.column("doc_id").to_numpy()[some], [pc.list_flatten(rows.column(c)).to_numpy() for c in ("terms", "weights")]
-    index = BlockMaxIndex(terms, idf, ids, labels_[some], (np.repeat(np.arange(len(ids)), size_[some]), *flat))
-    del rows, flat
+        for b in batches:
+            texts = text_bytes(b)
+            for rows in slices(texts, SLICE):
+                first, terms, counts = term_numbers([texts[k] for k in rows], vocabulary)
+                lists = [pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(x, pa.int32())) for x in (terms, counts)]
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(rows)) for c in (0, 2)), *lists], names=["doc_id", "y", "terms", "counts"])
+
+    rows = map_rows(sample, ["doc_id", "text", "y"], vectors, "doc_id long, y int, terms array<int>, counts array<int>").orderBy("doc_id").toArrow()
+    y = (rows.column("y").to_numpy() == 1).astype(float)
+    length = pc.list_value_length(rows.column("terms")).to_numpy()
+    some = length > 0
+    shared = {"vocabulary": vocabulary, "idf": idf, "ids": rows.column("doc_id").to_numpy()[some], "labels": y[some], "first": np.append(0, np.cumsum(length[some]))}
+    shared |= {c: pc.list_flatten(rows.column(c)).to_numpy() for c in ("terms", "counts")}
+    del rows
+    name, spark = uuid4().hex, docs.sparkSession
+    sent = spark.sparkContext.broadcast(shared)
+    labels_, n = shared["labels"], int(some.sum())
+    del shared
 
     def leave_one_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), text_bytes(batch), strict=True):
-                if words := to_words(text):
-                    near = index.nearest(*index.vector(Counter(words)), neighbours, int(np.searchsorted(ids, doc_id)))
-                    got.append((doc_id, features(near, index.labels, prior)))
-            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in got], pa.int64()), pa.array([f for _, f in got], pa.list_(pa.float64()))], names=["doc_id", "x"])
+        _, index = index_of(sent, name)
+        for b in batches:
+            own = b.column(0).to_numpy()
+            size = index.first[own + 1] - index.first[own]
+            first, at = np.append(0, np.cumsum(size)), stretches(index.own, index.first[own], index.first[own + 1])
+            found = index.nearest_of(first, at["of"], tfidf(first, at["of"], at["count"], index.idf), neighbours, own.tolist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([features(near, index.labels, prior) for near in found], pa.list_(pa.float64()))], names=["id", "x"])
 
-    x = map_rows(sample, ["doc_id", "text"], leave_one_out, "doc_id long, x array<double>").toArrow().sort_by("doc_id")
-    beta = fit_logistic(np.array(x.column("x").to_pylist()), index.labels, by[some])
-    return Model(index, beta, prior, ((by * labels_)[bare].sum() + 0.5 * prior) / (by[bare].sum() + 0.5))
+    x = spark.range(0, n, 1, -(-n // 512)).mapInArrow(leave_one_out, "id long, x array<double>").toArrow().sort_by("id")
+    by = np.where(y == 1, prior * len(y) / n_1, (1 - prior) * len(y) / n_0)
+    beta = fit_logistic(np.array(x.column("x").to_pylist()), labels_, by[some])
+    return Model(sent, name, beta, prior, ((by * y)[~some].sum() + 0.5 * prior) / (by[~some].sum() + 0.5))
 
 
 def scorer(model: Model, neighbours: int = NEIGHBOURS):
-    """A function from a text's bytes to (score, evidence); it remembers what a bounded number of texts got."""
-    index = model.index
-    terms = index.terms
+    """A function from texts to their (score, [(cosine, example)]); it remembers what a bounded number of texts got."""
+    if model.shared is None:
+        return lambda texts: [(model.bare, [])] * len(texts)
+    vocabulary, index = index_of(model.shared, model.name)
     seen: OrderedDict[bytes, tuple] = OrderedDict()
 
-    def score(text: bytes) -> tuple[float, list[dict]]:
-        key = blake2b(text, digest_size=16).digest()
-        if key not in seen:
-            counts = Counter(w for w in to_words(text) if w in terms)
-            if not counts:
-                return model.bare, []
-            near = index.nearest(*index.vector(counts), neighbours)
+    def score(texts: list[bytes]) -> list[tuple[float, list]]:
+        keys = [blake2b(x, digest_size=16).digest() for x in texts]
+        new = {key: x for key, x in zip(keys, texts, strict=True) if key not in seen}
+        first, terms, counts = term_numbers(list(new.values()), vocabulary)
+        found = index.nearest_of(first, terms, tfidf(first, terms, counts, index.idf), neighbours)
+        for key, near, n in zip(new, found, np.diff(first).tolist(), strict=True):
             z = float(np.dot(features(near, index.labels, model.prior), model.beta))
-            seen[key] = 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), [{"doc_id": int(index.ids[i]), "similarity": s, "label": int(index.labels[i])} for s, i in near]
-            if len(seen) > SEEN:
-                seen.popitem(last=False)
-        return seen[key]
+            at = 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) if n else model.bare
+            seen[key] = at, near
+        out = [seen[key] for key in keys]
+        while len(seen) > SEEN:
+            seen.popitem(last=False)
+        return out
+
+    def in_slices(texts: list[bytes]) -> list[tuple[float, list]]:
+        return [x for rows in slices(texts, SLICE) for x in score([texts[k] for k in rows])]
 
-    return score
+    return in_slices
 
 
-def score_documents(docs: DataFrame, model: Model, neighbours: int = NEIGHBOURS) -> DataFrame:
-    """doc_id, score, evidence (doc_id, similarity and label of the nearest examples): a row for each row of docs."""
+def score_documents(docs: DataFrame, model: Model, neighbours: int = NEIGHBOURS, with_evidence: bool = True) -> DataFrame:
+    """doc_id, score and, with_evidence, evidence (doc_id, similarity and label of the nearest examples): a row for each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer(model, neighbours)
+        ids, labels = index_of(model.shared, model.name)[1].facts() if model.shared else ((), ())
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("label", pa.int32())]))
         for b in batches:
-            got = [score(x) for x in text_bytes(b)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in got], pa.float64()), pa.array([x for _, x in got], kind)], names=["doc_id", "score", "evidence"])
+            got = score(text_bytes(b))
+            cols = [b.column(0), pa.array([x for x, _ in got], pa.float64())]
+            if with_evidence:
+                named = [[{"doc_id": int(ids[i]), "similarity": s, "label": int(labels[i])} for s, i in near] for _, near in got]
+                cols.append(pa.array(named, kind))
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "score", "evidence"][: len(cols)])
 
-    return map_rows(docs, ["doc_id", "text"], run, "doc_id long, score double, evidence array<struct<doc_id:long,similarity:double,label:int>>")
+    return map_rows(docs, ["doc_id", "text"], run, "doc_id long, score double" + ", evidence array<struct<doc_id:long,similarity:double,label:int>>" * with_evidence)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **settings) -> DataFrame:
-    """doc_id, held_out, score, predicted, evidence: a row for each row of docs (doc_id, text).
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, with_evidence: bool = True, **settings) -> DataFrame:
+    """doc_id, held_out, score, predicted and, with_evidence, evidence: a row for each row of docs (doc_id, text).
 
     A text's score is the calibrated, distance-weighted vote of its nearest labelled examples by TF-IDF cosine; a text
     without any of the examples' words, an empty or null one too, has no neighbours and gets the rate of label 1 among
     examples without words. Null ids and repeated rows pass through; other columns are ignored; empty tables give empty results.
     """
     model = fit(docs, labels, **settings)
-    got = score_documents(docs, model, settings.get("neighbours", NEIGHBOURS))
-    return got.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
+    got = score_documents(docs, model, settings.get("neighbours", NEIGHBOURS), with_evidence)
+    return got.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *["evidence"] * with_evidence)
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **settings) -> DataFrame:
     """The rows of docs whose score is below threshold, with all their columns, in one pass over the texts.
 
-    The score travels beside the row: whole rows pass through the mapping, so nothing is joined back.
+    The score travels beside the row: whole rows pass through the mapping, so nothing is joined back. Columns are
+    numbered on the way, so their names may be any.
     """
     model = fit(docs, labels, **settings)
     neighbours = settings.get("neighbours", NEIGHBOURS)
+    plain, text = numbered(docs), f"c{docs.columns.index('text')}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer(model, neighbours)
         for b in batches:
-            yield b.filter(pa.array([score(x)[0] < threshold for x in text_bytes(b)], pa.bool_()))
+            yield b.filter(pa.array([x < threshold for x, _ in score(text_bytes(b, text))], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from inkmill.llm import license_scan as L
 from inkmill.llm import mixing, quality, toxicity
@@ -139,23 +140,27 @@ def test_toxicity_of_a_small_table(spark):
     assert all(by[k].evidence for k in truth)
 
 
-def test_block_max_search_is_exact():
-    rng = np.random.default_rng(3)
-    n, v = 500, 30
-    w = rng.random((n, v)) * (rng.random((n, v)) < 0.15)
-    w[:40] = w[40:80]
-    w /= np.maximum(np.sqrt((w * w).sum(axis=1, keepdims=True)), 1e-9)
-    index = toxicity.BlockMaxIndex({str(k).encode(): k for k in range(v)}, np.ones(v), np.arange(n), np.zeros(n), w.copy())
-    for _ in range(60):
-        q = rng.random(v) * (rng.random(v) < 0.2)
-        if not q.any():
-            continue
-        q /= np.sqrt((q * q).sum())
+@pytest.mark.parametrize("n,v,share", [(500, 30, 0.15), (3000, 200, 0.05), (40, 3000, 0.4)])
+def test_block_max_search_is_exact(n, v, share):
+    rng = np.random.default_rng(n)
+    counts = (rng.random((n, v)) < share * rng.random(v) * 2) * rng.integers(1, 9, (n, v))
+    counts[: n // 12] = counts[n // 12 : 2 * (n // 12)]
+    idf = np.where(rng.random(v) < 0.5, 1e-6, rng.random(v) ** 4 + 1e-4)
+    w = np.where(counts > 0, 1 + np.log(np.maximum(counts, 1)), 0.0) * idf
+    w /= np.maximum(np.sqrt((w * w).sum(axis=1, keepdims=True)), 1e-300)
+    example, term = np.nonzero(counts)
+    index = toxicity.BlockMaxIndex(np.arange(n), np.zeros(n), np.searchsorted(example, np.arange(n + 1)), term, counts[example, term], idf)
+    for k in range(60):
+        q = counts[rng.integers(n)] if k % 2 else rng.integers(0, 4, v) * (rng.random(v) < 0.2)
         t = np.flatnonzero(q)
-        s = w @ q
-        want = sorted(((round(float(x), 12), k) for k, x in enumerate(s) if x > 0), key=lambda x: (-x[0], x[1]))[:10]
-        got = index.nearest(t, q[t], 10)
-        assert [k for _, k in got] == [k for _, k in want] or np.allclose([x for x, _ in got], [x for x, _ in want], atol=1e-10)
+        if not len(t):
+            continue
+        first, without = np.array([0, len(t)]), k if k % 3 else -1
+        x = toxicity.tfidf(first, t, q[t], idf)
+        s = w[:, t] @ x
+        want = sorted(((round(float(a), 12), i) for i, a in enumerate(s) if a > 0 and i != without), key=lambda a: (-a[0], a[1]))[:10]
+        got = index.nearest(t, x, 10, without)
+        assert [i for _, i in got] == [i for _, i in want] or np.allclose([a for a, _ in got], [a for a, _ in want], atol=1e-10)
         assert len(got) == len(want)
 
 
