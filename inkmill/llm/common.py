@@ -18,11 +18,14 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as spark.checkpoint.dir names it.
 
-    Where that is unset (tests on one machine), a temporary folder is made once per session.
+    Where that is unset and all of Spark runs on this machine (tests), a temporary folder is made once per session. On a
+    cluster executors wouldn't share it: there an unset folder is an error.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     at = spark.conf.get("inkmill.local.checkpoint.dir", None)
     if not at:
         at = tempfile.mkdtemp(prefix="inkmill-")
@@ -75,6 +78,19 @@ def numbered(df: DataFrame) -> DataFrame:
     return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
 
 
+def join_back(rows: DataFrame, facts: DataFrame, key: str, share: int = 1024) -> DataFrame:
+    """rows with the columns of facts (each key once, n: how many of rows have it), joined on key, which isn't null.
+
+    Keys that hold more than one of `share` parts of the rows, of which there are at most `share`, come by broadcast, so
+    a key of any weight is never gathered in one task; the others by a shuffle.
+    """
+    total = rows.count()
+    heavy = F.col("n") * share > total
+    hot, rest = facts.where(heavy), facts.where(~heavy)
+    left = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(left.join(rest, key))
+
+
 def held_out(doc_id: Column, modulus: int, rest: int) -> Column:
     """True where crc32 of the id as text leaves `rest`; a null id is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == rest, F.lit(False))

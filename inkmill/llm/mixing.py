@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, cut, numbered
 
 #: Documents of one source that one task balances together.
 BLOCK = 4096
@@ -176,9 +176,11 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, cap: float = CAP, block: int
 
 
 def apply_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The rows of docs, each as often as `mixed` takes it; the columns of docs, clashing names and all."""
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    take = mixed.select(F.struct(F.col("doc_id"), F.col("source"), F.col("size")).alias("__unit"), F.col("times").alias("__times")).distinct().where("__times > 0")
-    keyed = docs.select("*", F.struct(F.col("doc_id"), F.col("source"), size.alias("size")).alias("__of"))
-    met = keyed.join(take, keyed["__of"].eqNullSafe(take["__unit"]))
-    return met.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__copy")).drop("__copy")
+    """The rows of docs, each as often as `mixed` takes it; the columns of docs, whatever their names."""
+    plain = numbered(docs)
+    key, text, source = (F.col(f"c{docs.columns.index(c)}") for c in ("doc_id", "text", "source"))
+    size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    take = mixed.select("doc_id", "source", "size", "times").distinct().where("times > 0")
+    keyed = plain.withColumns({"key": key, "of": source, "words": size})
+    met = keyed.join(take, F.col("key").eqNullSafe(F.col("doc_id")) & F.col("of").eqNullSafe(F.col("source")) & (F.col("words") == F.col("size")))
+    return met.select(*plain.columns, F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).drop("copy").toDF(*docs.columns)

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, held_out
+from .common import cut, held_out, numbered
 
 #: Labelled rows that a model is fitted on, at most.
 SAMPLE = 20_000
@@ -203,11 +203,12 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sa
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
-    """The rows of docs whose score is at least threshold, with all their columns.
+    """The rows of docs whose score is at least threshold, with all their columns, whatever their names.
 
     The score passes through a generator of one row. A filter isn't pushed below that, where every rule would carry its
     own copy of the statistics.
     """
     model = fit(docs, labels, sample)
-    scored = with_statistics(docs).withColumn("__score", model.column()).drop("__stats")
-    return scored.select("*", F.explode(F.array("__score")).alias("__passed")).where(F.col("__passed") >= threshold).select(*docs.columns)
+    plain = numbered(docs)
+    scored = with_statistics(plain, f"c{docs.columns.index('text')}").withColumn("__score", model.column()).drop("__stats")
+    return scored.select("*", F.explode(F.array("__score")).alias("__passed")).where(F.col("__passed") >= threshold).select(*plain.columns).toDF(*docs.columns)

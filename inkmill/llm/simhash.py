@@ -7,10 +7,10 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, map_rows, text_bytes
+from .common import connected_components, cut, join_back, map_rows, numbered, text_bytes
 
 BITS = 64
 #: Rows of one key that are compared in one go; more are dealt out as pairs of tiles.
@@ -37,15 +37,15 @@ def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a signed long), a row for each row of docs; null text counts as empty."""
+def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, beside: list[str] = []) -> DataFrame:
+    """doc_id, fp (the fingerprint's bits as a signed long) and the long columns beside, a row for each row of docs; null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(x, words, seed) for x in text_bytes(b)], "<u8").view("<i8")
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), *b.columns[2:]], names=["doc_id", "fp", *beside])
 
-    return map_rows(docs, ["doc_id", "text"], run, "doc_id long, fp long")
+    return map_rows(docs, ["doc_id", "text", *beside], run, ", ".join(f"{c} long" for c in ["doc_id", "fp", *beside]))
 
 
 def planes(fps: np.ndarray) -> np.ndarray:
@@ -253,34 +253,48 @@ def fingerprint_links(distinct: DataFrame, radius: int = 3, tile: int = TILE) ->
     return dealt.select("fp", "key", F.col("i").cast("long"), F.col("j").cast("long")).mapInArrow(run, "a long, b long")
 
 
+def components(fps: DataFrame, radius: int) -> DataFrame:
+    """fp, n, group, least for each fingerprint of fps (doc_id, fp): its rows, its component's name, and that one's smallest doc_id."""
+    node = fps.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"))
+    comp = connected_components(fingerprint_links(node.select("fp"), radius))
+    linked = comp.join(node, comp["node"] == node["fp"]).select("fp", "component", "low")
+    lowest = linked.groupBy("component").agg(F.min("low").alias("least"))
+    linked = linked.join(lowest, "component").select(F.col("fp").alias("at"), "component", "least")
+    met = node.join(linked, node["fp"] == linked["at"], "left")
+    return cut(met.select("fp", "n", F.coalesce("component", "fp").alias("group"), F.when(F.col("at").isNotNull(), F.col("least")).otherwise(F.col("low")).alias("least")), "components")
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, seed: int = 42) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable), one row for each row of docs.
 
     Texts without words, null ones too, have fingerprint zero and link like any other. Rows with a null id take part; a
     component of such rows alone has a null component_id. Repeated rows each keep their row. Other columns are ignored,
     and an empty table gives an empty table. Equal fingerprints are one node, so a group of copies of any size costs a
-    row; links and components stay distributed.
+    row; links and components stay distributed, and what a large group has in common comes back to its rows by broadcast.
     """
     fps = cut(fingerprints(docs, words, seed), "fingerprints")
-    node = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    comp = connected_components(fingerprint_links(node.select("fp"), radius))
-    linked = comp.join(node, comp["node"] == node["fp"]).select("fp", "component", "low")
-    lowest = linked.groupBy("component").agg(F.min("low").alias("least"))
-    linked = linked.join(lowest, "component").select(F.col("fp").alias("at"), "least")
-    of = node.join(linked, node["fp"] == linked["at"], "left").select(F.col("fp").alias("at"), F.when(F.col("at").isNotNull(), F.col("least")).otherwise(F.col("low")).alias("component_id"))
-    return fps.join(of, fps["fp"] == of["at"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    met = join_back(fps, components(fps, radius), "fp")
+    return met.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, words: int = 3, radius: int = 3, seed: int = 42) -> DataFrame:
-    """The rows of docs with one of each component: the row with the component's smallest id.
+    """The rows of docs with one of each component: one with the component's smallest doc_id, null ids last.
 
-    Where several rows have that id, the first by text and source stays. Rows with a null id stay if their component
-    has no id at all. All columns are kept; the ids to keep come back by an equi-join.
+    Of rows of one component that share that id the one with the smallest hash of its text stays, and of those that
+    share the text too, which may differ in other columns, the first by their JSON form. All columns are kept, whatever
+    their names. The rows to keep come back by an equi-join on the id and the text's hash.
     """
-    found = near_duplicates(docs, words, radius, seed)
-    keep = cut(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("__rows")).withColumnRenamed("doc_id", "__keep"), "keep")
-    met = docs.join(keep, docs["doc_id"].eqNullSafe(keep["__keep"]))
-    if not keep.where("__keep is not null and __rows > 1").isEmpty():
-        first = F.row_number().over(Window.partitionBy("__keep").orderBy("text", "source"))
-        met = met.withColumn("__first", first).where("__first = 1 or __keep is null")
-    return met.select(*[docs[c] for c in docs.columns])
+    plain = numbered(docs)
+    key, text = F.col(f"c{docs.columns.index('doc_id')}").cast("long"), F.col(f"c{docs.columns.index('text')}")
+    hashed = F.coalesce(F.xxhash64(F.lit(7), text), F.lit(0))
+    fps = cut(fingerprints(plain.select(key.alias("doc_id"), text.alias("text"), hashed.alias("hash")), words, seed, ["hash"]), "fingerprints")
+    units = fps.groupBy("fp", "doc_id", "hash").agg(F.count("*").alias("rows"))
+    lowest = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "rows")).alias("one")
+    # a fingerprint's best first, by partial aggregates; then the best of its component's fingerprints
+    best = units.groupBy("fp").agg(lowest).join(components(fps, radius).select("fp", "group"), "fp")
+    keep = cut(best.groupBy("group").agg(F.min("one").alias("one")).select("one.*"), "keep")
+    keep = keep.select(F.col("doc_id").alias("id_"), F.col("hash").alias("hash_"), F.col("rows").alias("rows_"))
+    met = plain.withColumns({"key": key, "hash": hashed}).join(keep, F.col("key").eqNullSafe(F.col("id_")) & (F.col("hash") == F.col("hash_")))
+    row = F.struct(*plain.columns)
+    several = met.where("rows_ > 1").groupBy("id_", "hash_").agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
+    return met.where("rows_ = 1").select(*plain.columns).unionByName(several).toDF(*docs.columns)

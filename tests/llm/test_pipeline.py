@@ -2,8 +2,10 @@ import pytest
 
 pytest.importorskip("public_tokenizers")
 
+from pyspark.sql import functions as F  # noqa: E402
+
 import corpus_pipeline  # noqa: E402
-from inkmill.llm import queries  # noqa: E402
+from inkmill.llm import queries, simhash  # noqa: E402
 
 from .helpers import docs, key  # noqa: E402
 from .test_scores import corpus  # noqa: E402
@@ -46,3 +48,25 @@ def test_queries_run_on_awkward_tables(spark, tmp_path):
     for name, f in queries.QUERIES.items():
         if name not in ("op6_collision", "op9_mtree"):
             assert f(spark, str(tmp_path)).count() == n, name
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    df, labels, _ = corpus(spark, 200, 8)
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    names = ["a.b", "__w", "__t", "__of", "__times", "__score", "key", "fp", "rows", "size", "c0", "words"]
+    odd = df.select("*", *[F.col("doc_id").alias(c) for c in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, str(tmp_path))
+        assert out.columns == odd.columns
+        plain = stage(spark, df, str(tmp_path))
+        rows = sorted(map(tuple, out.collect()), key=key)
+        assert [r[: len(df.columns)] for r in rows] == sorted(map(tuple, plain.collect()), key=key), name
+        assert all(set(r[len(df.columns) :]) == {r[0]} for r in rows)
+
+
+def test_one_row_of_each_component_stays(spark):
+    far = ["alpha beta gamma delta one", "entirely different words stand here now", "a third text that says nothing alike"]
+    rows = [(1, far[0]), (1, far[1]), (2, far[0]), (2, far[1]), (None, far[0]), (None, far[2]), (None, far[2]), (3, None), (4, "")]
+    df = docs(spark, [(i, t, f"l{k}", "s", "x", "y") for k, (i, t) in enumerate(rows)])
+    got = sorted(((r.doc_id, r.text) for r in simhash.keep_first(df).collect()), key=str)
+    assert got == sorted([(1, far[0]), (1, far[1]), (None, far[2]), (3, None)], key=str)
