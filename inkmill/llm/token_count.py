@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame
 from .common import map_rows, text_bytes
 from .units import encoder, slices
 
-#: A text of more characters than HUGE is encoded in windows of WINDOW characters that share OVERLAP with the next one.
-HUGE, WINDOW, OVERLAP = 65_536, 16_384, 256
+#: A text of more characters than a window and its overlap is encoded in windows of WINDOW characters that share OVERLAP
+#: with the next one.
+WINDOW, OVERLAP = 16_384, 256
 #: White space that ends a pre-token in any context (see units.py).
 STABLE = frozenset("\t\n\x0b\x0c\r ")
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, n_windows int, n_widened int"
@@ -56,12 +57,13 @@ def count_huge(lib, text: str, window: int = WINDOW, overlap: int = OVERLAP) ->
     return total + len(here), windows, widened
 
 
-def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, huge: int = HUGE, window: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, window: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit, n_windows, n_widened: one row for each row of docs (doc_id, text).
 
     Null texts count as empty: 0 bytes, 0 tokens. Null ids, ties and repeated rows are kept as they are; other columns
     of docs, whatever their names, are ignored. An empty table gives an empty table. One pass without a shuffle; a
-    worker holds a batch of texts, and for a huge text the tokens of two windows.
+    worker holds a batch of texts, and of a text longer than one window the tokens of two windows. A text of one window
+    has nothing to splice; such texts are encoded many at a time.
     tokenizer: path of a file of the tokenizers library, there on every executor.
     """
 
@@ -72,7 +74,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, huge: int =
             n_tokens, n_windows, n_widened = [0] * len(texts), [1] * len(texts), [0] * len(texts)
             small = []
             for k, x in enumerate(texts):
-                if len(x) > huge and len(s := x.decode("utf-8", "replace")) > huge:
+                if len(x) > window + overlap and len(s := x.decode("utf-8", "replace")) > window + overlap:
                     n_tokens[k], n_windows[k], n_widened[k] = count_huge(enc.lib, s, window, overlap)
                 else:
                     small.append(k)

@@ -39,7 +39,7 @@ def test_units_equal_the_library(path):
 def test_token_counts(spark):
     df = docs(spark)
     got = {}
-    for r in token_count.token_counts(df, WORD, huge=1000, window=300, overlap=8).collect():
+    for r in token_count.token_counts(df, WORD, window=300, overlap=8).collect():
         got.setdefault(r.doc_id, []).append(r)
     src = df.collect()
     assert sum(map(len, got.values())) == len(src)
@@ -49,6 +49,10 @@ def test_token_counts(spark):
         assert (g.n_bytes, g.n_tokens, g.over_limit) == (len((r.text or "").encode()), len(ids), len(ids) > 2048)
     assert max(x[0].n_windows for x in got.values()) > 10
     assert max(x[0].n_widened for x in got.values()) > 3  # the text without white space
+    # every text of more than one window goes through windows, with the settings of production too
+    for r in token_count.token_counts(df, WORD).collect():
+        text = next(x.text for x in src if x.doc_id == r.doc_id) or ""
+        assert r.n_tokens == got[r.doc_id][0].n_tokens and (r.n_windows > 1 or r.n_widened > 0) == (len(text) > token_count.WINDOW + token_count.OVERLAP)
     assert token_count.token_counts(empty(spark), WORD).count() == 0
 
 
