@@ -291,3 +291,69 @@ def test_settings():
             Settings.from_env(env)
     with pytest.raises(EngineError):
         Settings(chunk_size=8, chunk_overlap=8)
+
+
+def files_of(path):
+    return {f"{d}/{f}" for d, _, names in os.walk(f"{path}/data") for f in names if f.endswith(".parquet")}
+
+
+def rows_in(spark, files):
+    return sum(spark.read.parquet(f).count() for f in files)
+
+
+def test_a_commit_between_reads_and_commit_is_a_conflict(spark, tmp_path, monkeypatch):
+    store = Snapshots(spark, str(tmp_path))
+    up = lambda key: spark.createDataFrame([(key, f"{key}.md", b"text " + key.encode())], "document_key STRING, file_name STRING, content BINARY")
+    ingest.submit(store, up("a"), now(), SMALL)
+    plain = versions.next_versions
+
+    def while_another_commits(*args):
+        monkeypatch.setattr(versions, "next_versions", plain)
+        ingest.submit(store, up("b"), now(), SMALL)
+        return plain(*args)
+
+    monkeypatch.setattr(versions, "next_versions", while_another_commits)
+    with pytest.raises(EngineError):
+        ingest.submit(store, up("c"), now(), SMALL)
+    assert {r.document_key for r in store.read("rag_documents").collect()} == {"a", "b"}
+    tx = Transaction(store, store.current() - 1)
+    tx.write("rag_documents", store.read("rag_documents", tx.base))
+    with pytest.raises(EngineError):
+        tx.commit()
+
+
+def test_a_commit_writes_its_own_rows(spark, tmp_path):
+    store = Snapshots(spark, str(tmp_path))
+    up = lambda keys, text: spark.createDataFrame([(k, f"{k}.md", f"{text} {k}".encode()) for k in keys], "document_key STRING, file_name STRING, content BINARY")
+    ingest.submit(store, up([f"k{n}" for n in range(40)], "one"), now(), SMALL)
+    ingest.process(store, provider, now(), SMALL)
+    before = files_of(tmp_path)
+    ingest.submit(store, up(["k3", "new"], "two"), now(), SMALL)
+    ingest.process(store, provider, now(), SMALL)
+    new = files_of(tmp_path) - before
+    # two documents: what was queued, then removals and rows of theirs; none of the other 39
+    assert rows_in(spark, new) <= 20
+    chunks = {r.content for r in store.read("rag_chunks").collect()}
+    assert len(chunks) == 41 and {"two k3", "two new", "one k4"} <= chunks and "one k3" not in chunks
+    docs = {r.document_key: r.current_version for r in store.read("rag_documents").collect()}
+    assert len(docs) == 41 and docs["k3"] == 2 and docs["new"] == docs["k4"] == 1 and store.read("rag_document_versions").count() == 41
+    old = {t: sorted(map(str, store.read(t).collect())) for t in store.manifest()}
+    store.compact()
+    assert all(len(x["segments"]) == 1 and not x["removals"] for x in store.manifest().values())
+    assert {t: sorted(map(str, store.read(t).collect())) for t in store.manifest()} == old
+    ingest.clear_work(store)
+    assert store.read("rag_chunks").count() == 41
+    with pytest.raises(ValueError):
+        store.drop("data/rag_chunks")
+
+
+def test_a_full_queue_and_an_interruption(spark, tmp_path):
+    store = Snapshots(spark, str(tmp_path))
+    few = Settings(embedding_dim=8, ingestion_workers=1, ingestion_queue_capacity=1)
+    up = spark.createDataFrame([(k, f"{k}.md", k.encode()) for k in "cabd"], "document_key STRING, file_name STRING, content BINARY")
+    got = {r.document_key: (r.decision, r.failure_code) for r in ingest.submit(store, up, now(), few, bounded=True).collect()}
+    assert got == {"a": ("CREATE", None), "b": ("CREATE", None), "c": ("FULL", "INGESTION_QUEUE_FULL"), "d": ("FULL", "INGESTION_QUEUE_FULL")}
+    assert {r.decision for r in ingest.submit(store, up.where("document_key = 'c'"), now(), few, bounded=True).collect()} == {"FULL"}
+    ingest.interrupt(store, now())
+    assert {(r.status, r.failure_code) for r in store.read("rag_document_versions").collect()} == {("FAILED", "PROCESS_INTERRUPTED")}
+    assert {r.decision for r in ingest.submit(store, up.where("document_key = 'c'"), now(), few, bounded=True).collect()} == {"CREATE"}
