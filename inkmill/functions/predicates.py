@@ -89,6 +89,24 @@ def uuid_eq(name: str, value: str) -> Column:
     return F.lower(name) == value.lower()
 
 
+def uuid_neq(name: str, value: str) -> Column:
+    return F.lower(name) != value.lower()
+
+
+def uuid_in(name: str, values: Sequence[str]) -> Column:
+    return F.lower(name).isin(*[v.lower() for v in values]) if len(values) else F.lit(False)
+
+
+def uuid_not_in(name: str, values: Sequence[str]) -> Column:
+    return ~F.lower(name).isin(*[v.lower() for v in values]) if len(values) else F.lit(True)
+
+
+def uuid_order(name: str, op: str, value: str) -> Column:
+    """op: gt, gte, lt or lte. UUIDs order as their bytes do, which is as their lower-case hexadecimal text does."""
+    a, b = F.lower(name), F.lit(value.lower())
+    return {"gt": a > b, "gte": a >= b, "lt": a < b, "lte": a <= b}[op]
+
+
 def vector(values: Sequence[float], kind: str = "float") -> Column:
     """A literal for eq(), gt() and the like on vector columns; vectors order by component."""
     return F.array(*[F.lit(float(v)).cast(kind) for v in values])

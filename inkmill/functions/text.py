@@ -45,8 +45,8 @@ def valid_document_key(c: Column) -> Column:
     return F.coalesce(utrim(c).rlike("^[\\p{L}\\p{Nd}._/-]{1,128}\\z"), F.lit(False))
 
 
-def upload_failure(key: Column, file_name: Column, content: Column, max_bytes: Column | int) -> Column:
-    """The first rule that an upload breaks, as its code; null for a good one. content: raw bytes."""
+def upload_failure(key: Column, file_name: Column, content: Column, max_bytes: Column | int, size: Column | None = None) -> Column:
+    """The first rule that an upload breaks, as its code; null for a good one. content: raw bytes; size: theirs, if known apart."""
     text = content.cast("string")
     name = F.coalesce(utrim(file_name), F.lit(""))
     limit = max_bytes if isinstance(max_bytes, Column) else F.lit(max_bytes)
@@ -54,7 +54,7 @@ def upload_failure(key: Column, file_name: Column, content: Column, max_bytes: C
         F.when(~valid_document_key(key), "INVALID_DOCUMENT_KEY")
         .when(name == "", "FILE_REQUIRED")
         .when(~(F.lower(name).endswith(".md") | F.lower(name).endswith(".markdown")), "UNSUPPORTED_FILE_TYPE")
-        .when(F.octet_length(content) > limit, "FILE_TOO_LARGE")
+        .when((F.octet_length(content) if size is None else size) > limit, "FILE_TOO_LARGE")
         .when(~F.is_valid_utf8(text) | (F.instr(text, "\x00") > 0), "INVALID_MARKDOWN_ENCODING")
         .when(F.coalesce(blank(canonical(text)), F.lit(True)), "EMPTY_DOCUMENT")
     )

@@ -3,7 +3,7 @@
 A block parser for the CommonMark subset with GFM tables, strikethrough and task lists: ATX and Setext headings,
 paragraphs, nested lists, quotes, pipe tables, fenced and indented code, HTML blocks, thematic breaks, and inline code,
 emphasis, links, images, autolinks and raw HTML. Backslash escapes and entities stay as written. Link reference
-definitions are read for [text][label] and [label] links and vanish from the text.
+definitions, over one line or several, are read for [text][label] and [label] links and vanish from the text.
 
 Everything here is plain Python over one text; plans.ingest runs it in Arrow batches.
 """
@@ -24,7 +24,11 @@ _FENCE = re.compile(r"( {0,3})(`{3,}(?=[^`]*$)|~{3,})[ \t]*([^\s]*)(.*)$")
 _QUOTE = re.compile(r" {0,3}> ?")
 _ITEM = re.compile(r"( {0,3})([-*+]|\d{1,9}[.)])(?=[ \t]|$)")
 _DELIMITER_ROW = re.compile(r" {0,3}\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$")
-_DEFINITION = re.compile(r" {0,3}\[([^\[\]]+)\]:[ \t]*(\S+)(?:[ \t]+(?:\"[^\"]*\"|'[^']*'|\([^()]*\)))?[ \t]*$")
+_TITLE = r"(?:\"[^\"]*\"|'[^']*'|\([^()]*\))"
+#: A link definition at the beginning of a paragraph's text; destination and title may stand on lines of their own.
+_DEFINITION = re.compile(rf" {{0,3}}\[([^\[\]]+)\]:[ \t]*\n?[ \t]*(?:<[^<>\n]*>|[^\s<]\S*)(?:(?:[ \t]+|[ \t]*\n[ \t]*){_TITLE})?[ \t]*(?:\n|$)")
+#: The same without a title, for a next line that only looks like one.
+_BARE_DEFINITION = re.compile(r" {0,3}\[([^\[\]]+)\]:[ \t]*\n?[ \t]*(?:<[^<>\n]*>|[^\s<]\S*)[ \t]*(?:\n|$)")
 # Tag names that open an HTML block.
 _HTML_NAMES = "address|article|aside|base|basefont|blockquote|body|caption|center|col|colgroup|dd|details|dialog|dir|div|dl|dt|fieldset|figcaption|figure|footer|form|frame|frameset|h1|h2|h3|h4|h5|h6|head|header|hr|html|iframe|legend|li|link|main|menu|menuitem|nav|noframes|ol|optgroup|option|p|param|search|section|summary|table|tbody|td|tfoot|th|thead|title|tr|track|ul"
 _TAG = r"<(?:[A-Za-z][A-Za-z0-9-]*(?:\s+[A-Za-z_:][\w.:-]*(?:\s*=\s*(?:[^\s\"'=<>`]+|'[^']*'|\"[^\"]*\"))?)*\s*/?|/[A-Za-z][A-Za-z0-9-]*\s*)>"
@@ -245,15 +249,28 @@ class BlockParser:
                     return self._table(lines, k, node, out)
                 if _indent(line) < 4 and _opens_block(line) or not line.strip():
                     break
-            elif m := _DEFINITION.match(line):
-                self.labels.add(" ".join(m[1].lower().split()))
-                return k + 1
+            elif n := self._definition(lines, k):
+                return k + n
             node.lines.append(line.strip(" ") if not line.endswith("  ") else line.lstrip(" "))
             node.last = lines[k][0]
             k += 1
         out.append(node)
         return k
 
+    def _definition(self, lines: list[tuple[int, str]], k: int) -> int:
+        """How many lines a link definition takes from line k on, 0 if there is none; its label becomes known."""
+        if not re.match(r" {0,3}\[", lines[k][1]):
+            return 0
+        end = k
+        while end < len(lines) and lines[end][1].strip():
+            end += 1
+        text = "\n".join(t for _, t in lines[k:end])
+        m = _DEFINITION.match(text) or _BARE_DEFINITION.match(text)
+        if not m:
+            return 0
+        self.labels.add(" ".join(m[1].lower().split()))
+        return m[0].count("\n") + (not m[0].endswith("\n"))
+
     def _table(self, lines: list[tuple[int, str]], k: int, head: Node, out: list[Node]) -> int:
         node = Node("table", head.at, head.first, head.first, rows=[_cells(head.lines[0])])
         for cell in _cells(lines[k][1]):

@@ -176,7 +176,8 @@ class Query:
         return self.where(F.col(self.pk) == key).only()
 
     def exist(self) -> bool:
-        return not self._rows().isEmpty()
+        """Whether the query has a first row, its offset and limit included."""
+        return not self._cut(self._rows()).isEmpty()
 
     def count(self) -> int:
         df = self._cut(self._rows()) if self.n is not None or self.skip else self._rows()
@@ -327,6 +328,15 @@ def upsert(table: DataFrame, rows: DataFrame, keys: Sequence[str], mode: str = "
     return met.select(*out)
 
 
+def upserted(before: DataFrame, after: DataFrame, rows: DataFrame, keys: Sequence[str], pk: str = "id") -> DataFrame:
+    """keys, pk and __new for each of rows, as `after` has them: pk is the row's that was there where there was one."""
+    asked = rows.select(*keys).distinct()
+    had = before.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.lit(True).alias("__had"))
+    met = after.select(*keys, pk).join(asked, list(keys), "left_semi")
+    met = met.join(had, [F.col(k) == F.col(f"__k_{k}") for k in keys], "left")
+    return met.select(*keys, pk, F.col("__had").isNull().alias("__new"))
+
+
 def update(table: DataFrame, predicate: Column, changes: dict[str, Column]) -> DataFrame:
     """table with changes where predicate is true, and a column __changed for counting; see changed() and settled()."""
     hit = F.coalesce(predicate, F.lit(False))
@@ -415,6 +425,35 @@ def unless(hook: Hook, *ops: str) -> Hook:
     return lambda op, df, go: go(op, df) if op in ops else hook(op, df, go)
 
 
+#: A condition of a hook: (operation, table) -> whether it holds.
+Condition = Callable[[str, DataFrame], bool]
+
+
+def has_op(*ops: str) -> Condition:
+    return lambda op, df: op in ops
+
+
+def has_fields(*names: str) -> Condition:
+    """Whether the mutation's rows have all these columns."""
+    return lambda op, df: all(n in df.columns for n in names)
+
+
+def all_of(*conditions: Condition) -> Condition:
+    return lambda op, df: all(c(op, df) for c in conditions)
+
+
+def any_of(*conditions: Condition) -> Condition:
+    return lambda op, df: any(c(op, df) for c in conditions)
+
+
+def not_(condition: Condition) -> Condition:
+    return lambda op, df: not condition(op, df)
+
+
+def if_(hook: Hook, condition: Condition) -> Hook:
+    return lambda op, df, go: hook(op, df, go) if condition(op, df) else go(op, df)
+
+
 def reject(*ops: str) -> Hook:
     def run(op: str, df: DataFrame, go):
         if op in ops:

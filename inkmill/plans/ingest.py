@@ -22,8 +22,8 @@ from inkmill.sources.store import Snapshots, Transaction
 from inkmill.sources.uploads import validate
 
 
-def blocks(docs: DataFrame, key: str = "doc_id", text: str = "markdown", normalized: bool = False) -> DataFrame:
-    """The blocks of each document: key and schemas.BLOCK; normalized ones are filtered first."""
+def blocks(docs: DataFrame, key: str = "doc_id", text: str = "markdown", normalized: bool = False, kept: bool = False) -> DataFrame:
+    """The blocks of each document: key and schemas.BLOCK; with kept the indexable ones, normalized those in canonical form."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in BLOCK.split(", ")]
@@ -31,8 +31,10 @@ def blocks(docs: DataFrame, key: str = "doc_id", text: str = "markdown", normali
             rows = []
             for k, t in zip(pdf[key], pdf[text], strict=True):
                 found = markdown.parse_blocks(t or "")
+                if kept or normalized:
+                    found = markdown.keep_indexable(found)
                 if normalized:
-                    found = [markdown.normalize(b) for b in markdown.keep_indexable(found)]
+                    found = [markdown.normalize(b) for b in found]
                 rows += [{key: k} | b for b in found]
             yield pd.DataFrame(rows, columns=[key, *names])
 

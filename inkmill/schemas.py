@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Mapping
 from dataclasses import dataclass, fields
 
@@ -88,6 +89,17 @@ class NotSingular(EngineError):
         super().__init__("NOT_SINGULAR", what)
 
 
+_UNITS = {"h": 3600.0, "m": 60.0, "s": 1.0, "ms": 1e-3, "us": 1e-6, "µs": 1e-6, "ns": 1e-9}
+
+
+def seconds(text: str, name: str) -> float:
+    """A duration such as 30s or 1m30s."""
+    parts = re.findall(r"([0-9]+(?:\.[0-9]*)?|\.[0-9]+)(h|ms|us|µs|ns|m|s)", text)
+    if not parts or "".join(a + b for a, b in parts) != text:
+        raise ValueError(f"{name} must be a duration")
+    return sum(float(a) * _UNITS[b] for a, b in parts)
+
+
 @dataclass(frozen=True)
 class Settings:
     """Settings with the defaults and bounds of the service; from_env reads the variables named beside them."""
@@ -100,11 +112,23 @@ class Settings:
     chunk_size: int = 512
     chunk_overlap: int = 64
     max_chunk_tokens: int = 3072
+    embedding_model: str = "embedding-3"  # EMBEDDING_MODEL, which must be this one
+    # seconds; durations such as 1m30s in the variables
+    database_timeout: float = 5.0  # DB_CONNECT_TIMEOUT
+    request_timeout: float = 30.0  # REQUEST_TIMEOUT
+    graph_timeout: float = 60.0  # GRAPH_TIMEOUT
+    shutdown_timeout: float = 10.0  # SHUTDOWN_TIMEOUT
+    ingestion_timeout: float = 600.0  # RAG_INGESTION_TIMEOUT
+    embedding_timeout: float = 30.0  # EMBEDDING_TIMEOUT
 
     def __post_init__(self) -> None:
         for f in fields(self):
             v = getattr(self, f.name)
-            if f.name == "chunk_overlap":
+            if f.name in ("chunk_overlap", "embedding_model"):
+                continue
+            if f.name.endswith("_timeout"):
+                if not v > 0:
+                    raise ValueError(f"{f.name} must be positive")
                 continue
             if not isinstance(v, int) or v <= 0:
                 raise ValueError(f"{f.name} must be a positive whole number")
@@ -115,14 +139,23 @@ class Settings:
 
     @classmethod
     def from_env(cls, env: Mapping[str, str] = os.environ) -> Settings:
-        names = {"max_upload_bytes": "RAG_MAX_UPLOAD_BYTES", "ingestion_workers": "RAG_INGESTION_WORKERS", "ingestion_queue_capacity": "RAG_INGESTION_QUEUE_CAPACITY", "embed_batch_size": "EMBEDDING_BATCH_SIZE"}
-        found = {}
+        names = {"max_upload_bytes": "RAG_MAX_UPLOAD_BYTES", "ingestion_workers": "RAG_INGESTION_WORKERS", "ingestion_queue_capacity": "RAG_INGESTION_QUEUE_CAPACITY", "embed_batch_size": "EMBEDDING_BATCH_SIZE", "embedding_dim": "EMBEDDING_DIMENSIONS"}
+        times = {"database_timeout": "DB_CONNECT_TIMEOUT", "request_timeout": "REQUEST_TIMEOUT", "graph_timeout": "GRAPH_TIMEOUT", "shutdown_timeout": "SHUTDOWN_TIMEOUT", "ingestion_timeout": "RAG_INGESTION_TIMEOUT", "embedding_timeout": "EMBEDDING_TIMEOUT"}
+        found: dict = {}
         for field, name in names.items():
             if raw := env.get(name, "").strip():
                 try:
                     found[field] = int(raw)
                 except ValueError:
                     raise ValueError(f"{name} must be a whole number") from None
+        for field, name in times.items():
+            if raw := env.get(name, "").strip():
+                found[field] = seconds(raw, name)
+        if model := env.get("EMBEDDING_MODEL", "").strip():
+            found["embedding_model"] = model
+        for field in ("embedding_dim", "embedding_model"):
+            if found.get(field, getattr(cls, field)) != getattr(cls, field):
+                raise ValueError(f"{field} must be {getattr(cls, field)}")
         return cls(**found)
 
 

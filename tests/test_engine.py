@@ -23,7 +23,7 @@ def now():
 
 
 def test_estimates_and_canonical_form(spark):
-    df = spark.createDataFrame([(" \t\n", 0), ("abc123!?", 3), ("a" * 100, 30), ("$", 2), ("汉A!🙂", 4)], "t STRING, n INT")
+    df = spark.createDataFrame([("\u3000 \r", 0), ("Zq9?;,", 2), ("e" * 50, 15), ("+", 2), ("木x.~☂", 6), ("word word", 3)], "t STRING, n INT")
     assert df.where(estimate_tokens(F.col("t")) != F.col("n")).isEmpty()
     r = spark.range(1).select(canonical(F.lit("﻿a\r\nb\rc")).alias("c"), utrim(F.lit("　 x ")).alias("t")).first()
     assert (r.c, r.t) == ("a\nb\nc", "x")
@@ -291,6 +291,55 @@ def test_settings():
             Settings.from_env(env)
     with pytest.raises(EngineError):
         Settings(chunk_size=8, chunk_overlap=8)
+    got = Settings.from_env({"REQUEST_TIMEOUT": "1m30s", "EMBEDDING_TIMEOUT": " 250ms ", "EMBEDDING_DIMENSIONS": "1024", "EMBEDDING_MODEL": "embedding-3"})
+    assert (got.request_timeout, got.embedding_timeout, got.ingestion_timeout, got.embedding_dim) == (90.0, 0.25, 600.0, 1024)
+    for env in ({"REQUEST_TIMEOUT": "soon"}, {"GRAPH_TIMEOUT": "0s"}, {"SHUTDOWN_TIMEOUT": "10"}, {"EMBEDDING_DIMENSIONS": "512"}, {"EMBEDDING_MODEL": "other"}):
+        with pytest.raises(ValueError):
+            Settings.from_env(env)
+
+
+def test_files_beyond_the_limit_are_refused_unread(spark, tmp_path):
+    few = Settings(max_upload_bytes=10)
+    (tmp_path / "small.md").write_bytes(b"0123456789")
+    (tmp_path / "big.md").write_bytes(b"x" * 5000)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "100")  # reading the content of a longer file fails
+    try:
+        got = {r.document_key: (r.failure_code, r.markdown) for r in validate(read_files(spark, str(tmp_path), few), few).collect()}
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert got == {"small": (None, "0123456789"), "big": ("FILE_TOO_LARGE", None)}
+
+
+def test_stamps(spark):
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        df = spark.sql("SELECT timestamp_micros(x) AS t FROM VALUES (1767323045000000), (1767323045120000), (1767323045000001), (1767323050000000) AS v(x)")
+        got = [r.s for r in df.select(versions.stamp(F.col("t")).alias("s")).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == ["2026-01-02T03:04:05Z", "2026-01-02T03:04:05.12Z", "2026-01-02T03:04:05.000001Z", "2026-01-02T03:04:10Z"]
+
+
+def test_hook_conditions(spark):
+    df, seen = spark.createDataFrame([(1, "a")], "id LONG, name STRING"), []
+
+    def note(op, table, go):
+        seen.append(op)
+        return go(op, table)
+
+    both = R.if_(note, R.all_of(R.has_op("create", "update"), R.has_fields("id", "name"), R.not_(R.any_of(R.has_op("update"), R.has_fields("other")))))
+    for op in ("create", "update", "delete"):
+        R.chain(both)(op, df, lambda o, d: d)
+    R.chain(both)("create", df.drop("name"), lambda o, d: d)
+    assert seen == ["create"]
+
+
+def test_upserts_tell_the_row_that_is_there(spark):
+    table = spark.createDataFrame([(1, "a", 1), (2, "b", 2)], "id LONG, k STRING, v INT")
+    rows = spark.createDataFrame([(7, "b", 9), (8, "c", 9)], "id LONG, k STRING, v INT")
+    for mode in ("ignore", "nothing", "new_values"):
+        got = R.upserted(table, R.upsert(table, rows, ["k"], mode=mode), rows, ["k"]).collect()
+        assert sorted(map(tuple, got)) == [("b", 2, False), ("c", 8, True)], mode
 
 
 def files_of(path):

@@ -20,7 +20,7 @@ def lines(blocks, size, overlap=0):
     return [(c["start_line"], c["end_line"]) for c in S.split(blocks, size, overlap)]
 
 
-@pytest.mark.parametrize("text,n", [(" \t\n", 0), ("abc123!?", 3), ("a" * 100, 30), ("$", 2), ("汉A!🙂", 4)])
+@pytest.mark.parametrize("text,n", [("\u3000 \r", 0), ("Zq9?;,", 2), ("e" * 50, 15), ("+", 2), ("木x.~☂", 6), ("word word", 3)])
 def test_weights(text, n):
     assert S.estimate(text) == n
 
