@@ -150,8 +150,8 @@ def test_the_count_asked_for_is_met_by_pairs_at_the_threshold():
     assert (hits >= need).mean() > 0.995 and need > collision.PROJECTIONS // 4
 
 
-@pytest.mark.parametrize("per_tree,per_task", [(8192, 2048), (50, 2)])
-def test_top_k(spark, per_tree, per_task):
+@pytest.mark.parametrize("per_tree,per_task,per_cell", [(8192, 2048, 1024), (50, 2, 40), (20, 3, 100)])
+def test_top_k(spark, per_tree, per_task, per_cell):
     import math
 
     df, rows = vectors(spark, 5, 420)
@@ -162,7 +162,7 @@ def test_top_k(spark, per_tree, per_task):
             continue
         scores = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(q, [max(-(2**63), min(2**63 - 1, x)) for x in v], strict=True)))), math.inf if i is None else i) for i, v in ok if len(v) == len(q) and i != qi)
         want += [(qi, k, None if i == math.inf else i, -s) for k, (s, i) in enumerate(scores[:10], 1)]
-    got = sorted((tuple(r) for r in mtree.top_k(df, 10, 60, rows_per_tree=per_tree, queries_per_task=per_task).collect()), key=str)
+    got = sorted((tuple(r) for r in mtree.top_k(df, 10, 60, rows_per_tree=per_tree, queries_per_task=per_task, per_cell=per_cell).collect()), key=str)
     assert got == sorted(want, key=str) and len(want) >= 70
     assert mtree.top_k(df.limit(0)).count() == 0
 
@@ -173,9 +173,29 @@ def test_bounds_spare_distances():
     import pandas as pd
 
     pages = mtree.build_pages(np.arange(len(x)), x)
-    table = pd.DataFrame([{"page": p["page"], "leaf": p["leaf"], "norm2": p["norm2"]} | {c: p[c].astype(t).tobytes() for c, t in (("ids", "<i8"), ("vectors", "<i8"), ("radii", "<f8"), ("to_parent", "<f8"), ("children", "<i8"))} for p in pages])
+    table = pd.DataFrame([{"page": p["page"], "leaf": p["leaf"], "norm2": p["norm2"]} | {c: p[c].astype(t).tobytes() for c, t in (("ids", "<i8"), ("nones", bool), ("vectors", "<i8"), ("radii", "<f8"), ("to_parent", "<f8"), ("children", "<i8"))} for p in pages])
     tree = mtree.Tree(table, 8)
     for q in (5, 900, 3100):
         best = sorted((-int(x[q] @ x[k]), k) for k in range(len(x)) if k != q)[:10]
         assert tree.search(x[q], q, 10) == [(-s, k) for s, k in best]
     assert tree.computed < 3 * len(x) / 2
+
+
+def test_few_distances_on_clusters_and_ids_at_the_ends(spark):
+    rng = np.random.default_rng(4)
+    centers = rng.standard_normal((40, 32)) * 20
+    rows = [(k, [float(a) for a in centers[k % 40] + rng.standard_normal(32)]) for k in range(4000)]
+    rows += [(2**63 - 1, rows[0][1]), (-(2**63), rows[0][1]), (None, rows[0][1])]
+    df = spark.createDataFrame(rows, "vec_id LONG, embedding ARRAY<DOUBLE>")
+    found = mtree.search(df, 10, 100, 1024.0, 8192, 2048, 100).cache()
+    x = np.floor(np.array([v for _, v in rows]) * 1024).astype(np.int64)
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0))
+    want = []
+    for q in [k for k in range(len(rows)) if rows[k][0] is not None and rows[k][0] % 100 == 0]:
+        s = x @ x[q]
+        best = sorted((k for k in order if k != q), key=lambda k: -s[k])[:10]
+        want += [(rows[q][0], n, rows[k][0], int(s[k])) for n, k in enumerate(best, 1)]
+    assert sorted(map(tuple, mtree.ranked(found, 10).collect()), key=str) == sorted(want, key=str)
+    queries = len({w[0] for w in want})
+    # of a scan's distances, a small part
+    assert found.agg({"computed": "sum"}).first()[0] < 0.2 * queries * len(rows)
