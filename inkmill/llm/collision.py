@@ -10,10 +10,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut
+from .common import connected_components, cut, join_back
 
 #: Distinct vectors of a label that one task holds of either side of a comparison.
 TILE = 4096
+#: Vectors around which a label's tiles gather, at most.
+PIVOTS = 64
 PROJECTIONS = 48
 #: Half a window, as a multiple of the standard deviation of a pair at the threshold.
 REACH = 1.0
@@ -75,17 +77,76 @@ def candidate_pairs(left: np.ndarray, right: np.ndarray, same: bool, cosine: flo
         yield i, j
 
 
+def gap(cosine: float) -> float:
+    """How far two unit vectors of at least that cosine can be apart along any direction."""
+    return math.sqrt(max(2 - 2 * cosine, 0.0)) + 1e-9
+
+
+def place(vectors: DataFrame, tile: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(vectors with the tile of each; the tiles with the interval that their vectors take along each direction).
+
+    A label's vectors gather around pivots: one for every quarter of a tile's rows, PIVOTS at most, the unit vectors of
+    rows with the smallest hash. A cell of more than `tile` rows is dealt by hash into several tiles. The directions are
+    the pivots; a dimension without a pivot has no intervals and one cell.
+    """
+    some = vectors.orderBy(F.xxhash64(F.lit(seed), "node"), "node").select("v").limit(PIVOTS).collect()
+    pivots: dict[int, np.ndarray] = {}
+    for dim in {len(r["v"]) for r in some}:
+        pivots[dim] = unit_rows(np.array([r["v"] for r in some if len(r["v"]) == dim], np.float64))
+    n = vectors.groupBy(F.col("label").alias("of"), F.col("dim").alias("d")).agg(F.least(F.lit(PIVOTS), F.ceil(4 * F.count("*") / tile)).cast("int").alias("cells"))
+    sized = vectors.join(n, (F.col("label") == F.col("of")) & (F.col("dim") == F.col("d"))).drop("of", "d")
+
+    def nearest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            pdf = pdf.assign(cell=np.int32(0))
+            for dim, part in pdf.groupby("dim"):
+                if dim in pivots:
+                    dots = unit_rows(np.stack(part["v"].to_list()).astype(np.float64)) @ pivots[dim].T
+                    dots[np.arange(dots.shape[1])[None, :] >= part["cells"].to_numpy()[:, None]] = -2.0
+                    pdf.loc[part.index, "cell"] = dots.argmax(axis=1).astype(np.int32)
+            yield pdf
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sized.schema.fields)
+    celled = cut(sized.mapInPandas(nearest, f"{kinds}, cell int").drop("cells"), "cells")
+    parts = celled.groupBy(F.col("label").alias("of"), F.col("dim").alias("d"), F.col("cell").alias("c")).agg(F.ceil(F.count("*") / tile).cast("long").alias("parts"))
+    met = celled.join(parts, (F.col("label") == F.col("of")) & (F.col("dim") == F.col("d")) & (F.col("cell") == F.col("c"))).drop("of", "d", "c")
+    placed = met.withColumn("tile", F.col("cell") + PIVOTS * F.pmod(F.xxhash64("node"), F.col("parts"))).drop("cell", "parts")
+
+    def span(pdf: pd.DataFrame) -> pd.DataFrame:
+        dim = int(pdf["dim"].iloc[0])
+        if dim in pivots:
+            along = unit_rows(np.stack(pdf["v"].to_list()).astype(np.float64)) @ pivots[dim].T
+            low, high = along.min(axis=0).tolist(), along.max(axis=0).tolist()
+        else:
+            low = high = []
+        return pd.DataFrame([(pdf["label"].iloc[0], dim, int(pdf["tile"].iloc[0]), low, high)], columns=["label", "dim", "tile", "low", "high"])
+
+    kind = vectors.schema["label"].dataType.simpleString()
+    return placed, cut(placed.groupBy("label", "dim", "tile").applyInPandas(span, f"label {kind}, dim int, tile long, low array<double>, high array<double>"), "tiles")
+
+
+def tile_pairs(tiles: DataFrame, cosine: float) -> DataFrame:
+    """label, dim, i, j (i <= j): the pairs of tiles that may hold a link; those further apart than gap() along a direction can't."""
+    a = tiles.select("label", "dim", F.col("tile").alias("i"), F.col("low").alias("low_i"), F.col("high").alias("high_i"))
+    b = tiles.select("label", "dim", F.col("tile").alias("j"), F.col("low").alias("low_j"), F.col("high").alias("high_j"))
+    apart = F.zip_with("low_i", "high_j", lambda x, y: x - y > gap(cosine)), F.zip_with("low_j", "high_i", lambda x, y: x - y > gap(cosine))
+    far = F.exists(apart[0], lambda x: x) | F.exists(apart[1], lambda x: x)
+    return a.join(b, ["label", "dim"]).where((F.col("i") <= F.col("j")) & ~far).select("label", "dim", "i", "j")
+
+
 def vector_links(vectors: DataFrame, cosine: float, projections: int, tile: int, seed: int) -> DataFrame:
     """Links among `vectors` (label, dim, node, v: distinct unit vectors, node a unique long): rows (node, n_links, other).
 
     Rows with other = node carry the count, the rest are the forest (n_links 0).
-    A label's vectors are dealt into tiles, and each pair of tiles is compared by a task of its own; a label of any size
-    only makes more of them. A task emits for each vector how many copies it links with (n_links), and a spanning forest
-    of its links (other), so its output is linear in the tile. copies: the column of how many rows a vector stands for.
+    A label's vectors are gathered into tiles, and each pair of tiles that are near enough is compared by a task of its
+    own; a label of any size only makes more of them. A task emits for each vector how many copies it links with
+    (n_links), and a spanning forest of its links (other), so its output is linear in the tile. copies: the column of how
+    many rows a vector stands for.
     """
-    n = vectors.groupBy("label", "dim").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
-    met = vectors.join(n, ["label", "dim"]).select("label", "dim", "node", "copies", "v", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-    met = met.select("label", "dim", "node", "copies", "v", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    placed, tiles = place(vectors, tile, seed)
+    pairs = cut(tile_pairs(tiles, cosine), "pairs")
+    sides = pairs.select("label", "dim", F.col("i").alias("tile"), "i", "j").unionByName(pairs.where("i <> j").select("label", "dim", F.col("j").alias("tile"), "i", "j"))
+    met = placed.join(sides, ["label", "dim", "tile"]).select("label", "dim", "node", "copies", "v", F.col("tile").alias("own"), "i", "j")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node", kind="stable")
@@ -154,7 +215,14 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, projections: int =
     linked = linked.join(least, "component").select("node", F.col("least"))
     counts = found.groupBy("node").agg(F.sum("n_links").alias("links"))
     facts = nodes.select("node", "label", "v", "copies", "low").join(counts, "node", "left").join(linked.withColumn("in_comp", F.lit(True)), "node", "left")
-    facts = facts.select(F.col("label").alias("of_label"), F.col("v").alias("of_v"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.when(F.col("in_comp"), F.col("least")).otherwise(F.col("low")).alias("component_id"))
-    met = rows.join(facts, (rows["label"] == facts["of_label"]) & (rows["v"] == facts["of_v"]), "left")
-    component = F.coalesce(F.when(F.col("v").isNotNull(), F.col("component_id")), F.col("vec_id"))
-    return met.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    facts = facts.select(
+        F.struct("label", "v").alias("key"),
+        F.col("copies").alias("n"),
+        (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"),
+        F.when(F.col("in_comp"), F.col("least")).otherwise(F.col("low")).alias("component_id"),
+    )
+    # rows without a vector that may link never meet the others, so they aren't gathered by their null
+    alone = rows.where("v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    met = join_back(rows.where("v is not null").select("vec_id", F.struct("label", "v").alias("key")), cut(facts, "facts"), "key")
+    every = met.select("vec_id", "n_links", F.coalesce("component_id", "vec_id").alias("component_id")).unionByName(alone)
+    return every.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))

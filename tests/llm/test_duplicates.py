@@ -3,6 +3,7 @@ import pytest
 
 xxhash = pytest.importorskip("xxhash")
 
+from pyspark.sql import functions as F  # noqa: E402
 from pyspark.sql import types as T  # noqa: E402
 
 from inkmill.llm import collision, common, mtree, simhash  # noqa: E402
@@ -199,3 +200,21 @@ def test_few_distances_on_clusters_and_ids_at_the_ends(spark):
     queries = len({w[0] for w in want})
     # of a scan's distances, a small part
     assert found.agg({"computed": "sum"}).first()[0] < 0.2 * queries * len(rows)
+
+
+def test_tiles_far_apart_are_left_out_and_no_link_is_lost(spark):
+    rng = np.random.default_rng(8)
+    centers = rng.standard_normal((12, 48)) * 4
+    rows = [(k, [float(a) for a in centers[k % 12] + rng.standard_normal(48) * 0.7], k % 2, "x") for k in range(900)]
+    df = spark.createDataFrame(rows, T._parse_datatype_string("vec_id LONG, embedding ARRAY<DOUBLE>, label INT, kept STRING"))
+    nodes = df.select("label", F.col("embedding").alias("v"), F.lit(1).cast("long").alias("copies"), F.size("embedding").alias("dim"), F.col("vec_id").alias("node"))
+    placed, tiles = collision.place(nodes, 60, 6)
+    assert placed.count() == 900 and placed.groupBy("label", "tile").count().agg({"count": "max"}).first()[0] <= 120
+    n = {r.label: r["count"] for r in tiles.groupBy("label").count().collect()}
+    every = sum(k * (k + 1) // 2 for k in n.values())
+    assert collision.tile_pairs(tiles, 0.93).count() < every / 2
+    links, g = brute_links(rows)
+    got = sorted(map(tuple, collision.near_duplicates(df, tile=60).collect()))
+    comp = least_ids([r[0] for r in rows], g)
+    assert sum(links) > 1000
+    assert got == sorted((r[0], k, c, r[0] == c) for r, k, c in zip(rows, links, comp, strict=True))
