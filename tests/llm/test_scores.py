@@ -241,3 +241,28 @@ def test_flight_keeps_both_totals():
         assert all(p in (0.0, 1.0) for p in mixing.land(size, out))
     hits = np.mean([mixing.flight([3.0, 1.0, 4.0, 1.0, 5.0], [0.3] * 5, s) for s in range(4000)], axis=0)
     assert np.allclose(hits, 0.3, atol=0.03)  # each keeps its expectation
+
+
+def test_flight_and_mix_count_repeated_rows(spark):
+    rng = random.Random(3)
+    n = 600
+    copies = [float(rng.choice([1, 1, 2, 7])) for _ in range(n)]
+    size = [c * rng.choice([0, 1, 5, 100, 3000]) for c in copies]
+    psi = [rng.random() for _ in range(n)]
+    out = mixing.flight(size, psi, 5, copies)
+    assert sum(0 < p < 1 for p in out) <= 2
+    for row in (copies, size):
+        assert abs(sum(a * b for a, b in zip(row, out)) - sum(a * b for a, b in zip(row, psi))) < 1e-3
+    done = mixing.land(size, out, copies)
+    assert all(p in (0.0, 1.0) for p in done)
+    # every row of a group of copies is one: documents and words of each source come near their expectation
+    rows = []
+    for k in range(1500):
+        text = " ".join(["w"] * rng.choice([1, 3, 10, 40, 200]))
+        rows += [(k, text, "en", f"s{k % 2}", "x", "y")] * rng.choice([1, 1, 1, 5])
+    got = mixing.mix(docs(spark, rows), block=256).collect()
+    for source in ("s0", "s1"):
+        of = [r for r in got if r.source == source]
+        rate = of[0].target / of[0].source_size
+        assert abs(sum(r.taken for r in of) - of[0].target) <= 0.001 * of[0].target
+        assert abs(sum(r.times for r in of) - rate * len(of)) <= 25, (sum(r.times for r in of), rate * len(of))
