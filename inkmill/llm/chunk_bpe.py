@@ -4,22 +4,26 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import OrderedDict
+from collections import Counter, OrderedDict
 from collections.abc import Iterator
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import map_rows, text_bytes
-from .units import encoder, slices
+from .common import held, map_rows, text_bytes
+from .units import UnitEncoder, slices
 
 #: A chunk ends where the low bits of a rolling hash over the last 32 bytes are all set: AVERAGE bytes on average.
 AVERAGE = 1024
 #: Bytes of chunks that a Python worker remembers.
 KEEP = 48_000_000
+#: Bytes of shared chunks that are encoded once for all workers: those that occur most often.
+SHARED = 48_000_000
 _HEAD = re.compile(rb"[\t-\r ]")
-_made: dict[tuple, ChunkEncoder] = {}
 
 
 def gear() -> np.ndarray:
@@ -45,32 +49,37 @@ def cuts(data: bytes, average: int = AVERAGE) -> list[int]:
     return [*ends, n]
 
 
+def key_of(chunk: bytes) -> bytes:
+    return hashlib.blake2b(chunk, digest_size=16).digest()
+
+
 class ChunkEncoder:
     """Encodes whole texts chunk by chunk, remembering chunks, and decodes ids as the library does.
 
-    A chunk is encoded once however many texts share it (as long as it is remembered). What is kept is its inside: the
-    ids of the units between the first and the last place at which the tokenizer cuts in any context, with the bytes
-    left over at either end. At a join, the bytes left over on both sides are encoded together. They begin and end at
-    such places, so the new ids agree with what both neighbours have there; where a chunk holds no such place the piece
-    grows by the whole chunk and goes on to the next join.
+    A chunk that is shared (see share()) comes encoded; any other is encoded once however many texts of this worker have
+    it, as long as it is remembered. What is kept is its inside: the ids between the first and the last white space, with
+    the bytes left over at either end and the first and last word inside. At a join, what both sides left over is
+    encoded anew between the last word of the one inside and the first word of the other. The new ids must agree exactly
+    with what both insides have for these words; a text with a join that doesn't is encoded whole. Where a chunk holds no
+    white space the piece grows by the whole chunk and goes on to the next join.
     """
 
-    def __init__(self, path: str, average: int, keep: int):
-        self.enc = encoder(path)
+    def __init__(self, path: str, average: int, keep: int, shared: dict[bytes, tuple] | None = None):
+        self.enc = UnitEncoder(path)
         if not self.enc.word:
             raise ValueError("chunk reuse needs a tokenizer that drops white space")
         self.average, self.keep, self.size = average, keep, 0
+        self.shared = shared or {}
         self.chunks: OrderedDict[bytes, tuple] = OrderedDict()
-        self.reused = self.encoded = 0
+        self.reused = self.encoded = self.whole = 0
         self.tokens: list[str] | None = None
-        self.decoded: dict[bytes, bytes] = {}
 
     def parts(self, text: bytes) -> list[bytes]:
         ends = cuts(text, self.average)
         return [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
-    def inside(self, chunks: list[bytes]) -> None:
-        """Puts each chunk's (left over before, inner ids by unit, left over after) into self.chunks."""
+    def inside(self, chunks: list[bytes]) -> list[tuple]:
+        """(left over before, inner ids, left over after, first word, last word) of each; ids None without white space."""
         spans = []
         for c in chunks:
             m = _HEAD.search(c)
@@ -81,19 +90,21 @@ class ChunkEncoder:
             z = max(c.rfind(x) for x in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")) + 1
             spans.append((c[:a], c[a:z], c[z:]))
         ids = iter(self.enc.encode([m for _, m, _ in spans if m is not None]))
-        for c, (head, middle, tail) in zip(chunks, spans, strict=True):
-            self.remember(c, (head, None if middle is None else next(ids), tail))
+        out = []
+        for head, middle, tail in spans:
+            first, last = (middle or b"").split(None, 1)[:1], (middle or b"").rsplit(None, 1)[-1:]
+            out.append((head, None if middle is None else next(ids), tail, b"".join(first).strip(), b"".join(last).strip()))
+        self.encoded += len(chunks)
+        return out
 
-    def remember(self, chunk: bytes, value: tuple) -> None:
-        key = hashlib.blake2b(chunk, digest_size=20).digest()
+    def remember(self, key: bytes, value: tuple) -> None:
         self.chunks[key] = value
-        self.size += 200 + sum(len(x) for x in value if x)
-        self.encoded += 1
+        self.size += 300 + sum(len(x) for x in value if x)
 
     def forget(self) -> None:
         while self.size > self.keep and self.chunks:
             _, value = self.chunks.popitem(last=False)
-            self.size -= 200 + sum(len(x) for x in value if x)
+            self.size -= 300 + sum(len(x) for x in value if x)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, little-endian unsigned 32-bit."""
@@ -101,36 +112,49 @@ class ChunkEncoder:
         for t in texts:
             own = []
             for c in self.parts(t):
-                key = hashlib.blake2b(c, digest_size=20).digest()
+                key = key_of(c)
                 own.append(key)
-                if key in self.chunks:
+                if key in self.shared or key in missing:
+                    self.reused += 1
+                elif key in self.chunks:
                     self.chunks.move_to_end(key)
                     self.reused += 1
-                elif key not in missing:
-                    missing[key] = c
                 else:
-                    self.reused += 1
+                    missing[key] = c
             keyed.append(own)
-        if missing:
-            self.inside(list(missing.values()))
-        plans, joins = [], []
+        for key, value in zip(missing, self.inside(list(missing.values())), strict=True):
+            self.remember(key, value)
+        plans, joins = [], []  # joins: the last word before, what is left over, the first word after
         for own in keyed:
-            plan, piece = [], []
+            plan, piece, before = [], [], b""
             for key in own:
-                head, ids, tail = self.chunks[key]
+                head, ids, tail, first, last = self.shared.get(key) or self.chunks[key]
                 piece.append(head)
                 if ids is not None:
                     if joint := b"".join(piece):
                         plan.append(len(joins))
-                        joins.append(joint)
+                        joins.append((before, joint, first))
                     plan.append(ids)
-                    piece = [tail]
+                    piece, before = [tail], last
             if joint := b"".join(piece):
                 plan.append(len(joins))
-                joins.append(joint)
+                joins.append((before, joint, b""))
             plans.append(plan)
-        done = self.enc.encode(joins)
-        out = [b"".join(x if isinstance(x, bytes) else done[x] for x in plan) for plan in plans]
+        around = self.enc.encode([b" ".join(j) for j in joins])
+        words = list({w for before, _, after in joins for w in (before, after)})
+        known = dict(zip(words, self.enc.encode(words), strict=True))
+        done: list[bytes | None] = []
+        for (before, _, after), ids in zip(joins, around, strict=True):
+            a, z = known[before], known[after]
+            agreed = len(ids) >= len(a) + len(z) and ids.startswith(a) and ids.endswith(z)
+            done.append(ids[len(a) : len(ids) - len(z)] if agreed else None)
+        out = []
+        for text, plan in zip(texts, plans, strict=True):
+            found = [x if isinstance(x, bytes) else done[x] for x in plan]
+            if None in found:
+                self.whole += 1
+                found = [np.array(self.enc.lib.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()]
+            out.append(b"".join(found))
         self.forget()
         return out
 
@@ -155,23 +179,80 @@ class ChunkEncoder:
             return " ".join(names[k] for k in got if k < n and names[k] is not None)
 
 
-def chunk_encoder(path: str, average: int = AVERAGE, keep: int = KEEP) -> ChunkEncoder:
-    """One for each Python worker and setting, so that chunks are reused across tasks as well."""
-    key = (path, average, keep)
-    if key not in _made:
-        _made[key] = ChunkEncoder(path, average, keep)
-    return _made[key]
+def share(docs: DataFrame, tokenizer: str, average: int = AVERAGE, budget: int = SHARED) -> Broadcast:
+    """The insides of chunks that occur more than once in docs (text), each encoded once in the whole run, for all workers.
+
+    Tasks count chunks by hash, and only hashes and counts are shuffled; the most frequent ones are chosen, `budget`
+    bytes of them at most, so what is broadcast is bounded. Each then comes from one of the tasks that meet it, and is
+    encoded by one. Shared chunks beyond the budget are encoded by each worker that meets them.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n: Counter = Counter()
+            size = {}
+            for text in text_bytes(b):
+                ends = cuts(text, average)
+                for x, y in zip([0, *ends], ends, strict=False):
+                    key = key_of(text[x:y])
+                    n[key] += 1
+                    size[key] = y - x
+            yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.binary()), pa.array(n.values(), pa.int64()), pa.array([size[k] for k in n], pa.int64())], names=["key", "n", "size"])
+
+    found = map_rows(docs, ["text"], count, "key binary, n long, size long").groupBy("key").agg(F.sum("n").alias("n"), F.max("size").alias("size"))
+    often = found.where((F.col("n") > 1) & (F.col("size") <= 16 * average)).orderBy(F.col("n").desc(), "key").limit(max(1, budget // average)).toArrow()
+    fits = np.cumsum(often.column("size").to_numpy()) <= budget
+    chosen = frozenset(often.column("key").filter(pa.array(fits)).to_pylist())
+
+    def bring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = set(chosen)
+        for b in batches:
+            got = {}
+            for text in text_bytes(b):
+                ends = cuts(text, average)
+                for x, y in zip([0, *ends], ends, strict=False):
+                    if (key := key_of(text[x:y])) in left:
+                        left.discard(key)
+                        got[key] = text[x:y]
+            yield pa.RecordBatch.from_arrays([pa.array(got.keys(), pa.binary()), pa.array(got.values(), pa.binary())], names=["key", "chunk"])
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = chunk_encoder(tokenizer, average, 0, None, "")
+        for b in batches:
+            values = enc.inside(b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([v[k] for v in values], pa.binary()) for k in range(5))], names=["key", "head", "ids", "tail", "first", "last"])
+
+    once = map_rows(docs, ["text"], bring, "key binary, chunk binary").groupBy("key").agg(F.first("chunk").alias("chunk"))
+    done = once.mapInArrow(inside, "key binary, head binary, ids binary, tail binary, first binary, last binary").toArrow()
+    return docs.sparkSession.sparkContext.broadcast(done)
+
+
+def chunk_encoder(path: str, average: int, keep: int, shared: Broadcast | None, name: str) -> ChunkEncoder:
+    """A Python worker's encoder, kept over its tasks, so that chunks are reused across them as well."""
+
+    def make() -> ChunkEncoder:
+        if shared is None:
+            return ChunkEncoder(path, average, keep)
+        rows = shared.value
+        if hasattr(shared, "_path"):  # the worker may read it again from there
+            vars(shared).pop("_value", None)
+        columns = [rows.column(c).to_pylist() for c in ("head", "ids", "tail", "first", "last")]
+        return ChunkEncoder(path, average, keep, dict(zip(rows.column("key").to_pylist(), zip(*columns, strict=True), strict=True)))
+
+    return held(("chunks", path, average, keep, name), make)
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, average: int = AVERAGE, keep: int = KEEP, with_output: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, tokenizer: str, average: int = AVERAGE, keep: int = KEEP, with_output: bool = True, budget: int = SHARED) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, with_output, ids and decoded: a row for each row of docs.
 
     Null texts are empty: no ids, an empty decoded text. Null ids and repeated rows pass through; other columns are
-    ignored; an empty table gives an empty table. One pass without a shuffle.
+    ignored; an empty table gives an empty table. Tokenizers that keep white space raise ValueError. Shared chunks are
+    found and encoded first (see share()); then one pass without a shuffle.
     """
+    shared, name = share(docs, tokenizer, average, budget), uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = chunk_encoder(tokenizer, average, keep)
+        enc = chunk_encoder(tokenizer, average, keep, shared, name)
         for b in batches:
             texts = text_bytes(b)
             for rows in slices(texts):

@@ -136,3 +136,38 @@ def test_chunks_are_reused_and_forgotten():
 def test_clashing_columns_are_ignored(spark):
     got = token_count.token_counts(docs(spark), WORD)
     assert dict(got.dtypes)["n_tokens"] == "bigint" and len(rows(got, "doc_id")) == docs(spark).count()
+
+
+def test_shared_chunks_are_encoded_once_for_all_workers(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(2, 9)))
+    passage = " ".join(word() for _ in range(400))
+    texts = [" ".join(word() for _ in range(30)) + " " + passage + " " + " ".join(word() for _ in range(30)) for _ in range(40)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id LONG, text STRING").repartition(8)
+    shared = chunk_bpe.share(df, WORD, 64).value
+    own = [{chunk_bpe.key_of(c) for c in chunk_bpe.ChunkEncoder(WORD, 64, 0).parts(t.encode())} for t in texts]
+    common = set.intersection(*own)
+    assert len(common) > 20 and common <= set(shared.column("key").to_pylist()) and len(set(shared.column("key").to_pylist())) == len(shared)
+    rows_ = dict(zip(shared.column("key").to_pylist(), zip(*[shared.column(c).to_pylist() for c in ("head", "ids", "tail", "first", "last")], strict=True), strict=True))
+    enc = chunk_bpe.ChunkEncoder(WORD, 64, 10_000_000, rows_)
+    _, want = library(WORD, texts)
+    assert enc.encode([t.encode() for t in texts]) == [packed(x) for x in want]
+    # what all have is encoded by none of the workers that use it
+    assert enc.encoded <= sum(map(len, own)) - len(common) * len(texts) and enc.reused >= len(common) * len(texts) and enc.whole == 0
+    # the most frequent first, within the budget
+    few = chunk_bpe.share(df, WORD, 64, 640).value
+    assert 0 < len(few) <= 10 and set(few.column("key").to_pylist()) <= common
+    got = {r.doc_id: r.ids for r in chunk_bpe.encode_documents(df, WORD, 64, budget=640).collect()}
+    assert got == dict(enumerate(want))
+
+
+def test_a_join_that_disagrees_is_encoded_whole():
+    enc = chunk_bpe.ChunkEncoder(WORD, 64, 10_000_000)
+    text = " ".join(f"word{k} and other{k}" for k in range(200)).encode()
+    _, (want,) = library(WORD, [text.decode()])
+    assert enc.encode([text]) == [packed(want)] and enc.whole == 0
+    # insides whose last words aren't what their ids say
+    enc.chunks = type(enc.chunks)((k, (*v[:4], b"wrong")) for k, v in enc.chunks.items())
+    real = enc.enc.encode
+    enc.enc.encode = lambda texts: [x[4:] if b"wrong" in t and t != b"wrong" else x for t, x in zip(texts, real(texts), strict=True)]
+    assert enc.encode([text]) == [packed(want)] and enc.whole == 1
