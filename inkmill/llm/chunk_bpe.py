@@ -14,7 +14,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, map_rows, text_bytes
+from .common import alone, held, map_rows, text_bytes
 from .units import UnitEncoder, slices
 
 #: A chunk ends where the low bits of a rolling hash over the last 32 bytes are all set: AVERAGE bytes on average.
@@ -223,7 +223,7 @@ def share(docs: DataFrame, tokenizer: str, average: int = AVERAGE, budget: int =
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([v[k] for v in values], pa.binary()) for k in range(5))], names=["key", "head", "ids", "tail", "first", "last"])
 
     once = map_rows(docs, ["text"], bring, "key binary, chunk binary").groupBy("key").agg(F.first("chunk").alias("chunk"))
-    done = once.mapInArrow(inside, "key binary, head binary, ids binary, tail binary, first binary, last binary").toArrow()
+    done = once.mapInArrow(alone(inside), "key binary, head binary, ids binary, tail binary, first binary, last binary").toArrow()
     return docs.sparkSession.sparkContext.broadcast(done)
 
 

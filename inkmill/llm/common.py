@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,14 +58,43 @@ def text_bytes(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()]
 
 
+def pieces(batch: pa.RecordBatch, size: int, name: str = "text") -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows with about `size` bytes in that column, one row at least: what work on a run needs stays small."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(name))), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + size, "right")))
+        yield batch.slice(a, b - a)
+        a = b
+
+
 _held: dict = {}
+_owner: list[str] = [""]
 
 
-def held(key: tuple, make: Callable):
-    """What a Python worker keeps between tasks, made by make() once; asking for another key lets go of the last one.
+def enter(owner: str) -> None:
+    """To be called where an operator's work in a Python worker begins: what another operator kept there goes first.
 
     A worker thus holds one operator's memory at a time, however many ran in it.
     """
+    if _owner[0] != owner:
+        _held.clear()
+        _owner[0] = owner
+        tidy()
+
+
+def tidy() -> None:
+    """Gives memory that isn't used any more back to the machine, as far as the allocators know how."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def held(key: tuple, make: Callable):
+    """What a Python worker keeps between tasks, made by make() once; asking for another key lets go of the last one."""
     if key not in _held:
         _held.clear()
         _held[key] = make()
@@ -70,7 +103,19 @@ def held(key: tuple, make: Callable):
 
 def map_rows(df: DataFrame, cols: list, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """fn over Arrow batches of cols alone; columns of df that cols doesn't name never reach Python."""
-    return df.select(*cols).mapInArrow(fn, schema)
+    return df.select(*cols).mapInArrow(alone(fn), schema)
+
+
+def alone(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """fn as the work of its module: see enter(); what it leaves unused is given back at the end of each task."""
+    owner = fn.__module__
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter(owner)
+        yield from fn(batches)
+        tidy()
+
+    return run
 
 
 def numbered(df: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, numbered
+from .common import WORD, cut, enter, numbered
 
 #: Documents of one source that one task balances together.
 BLOCK = 4096
@@ -134,6 +134,7 @@ def balancer(seed: int, number: int, back: int):
     """
 
     def balance(pdf: pd.DataFrame) -> pd.DataFrame:
+        enter(__name__)
         # large ones first: what is left to land is then small
         pdf = pdf.drop(columns=["block"]).assign(mass=pdf["size"] * pdf["copies"]).sort_values(["mass", "pos", "doc_id"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
         size, copies = pdf.pop("mass").astype(float).tolist(), pdf["copies"].astype(float).tolist()

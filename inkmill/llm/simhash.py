@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, join_back, map_rows, numbered, text_bytes
+from .common import alone, connected_components, cut, join_back, map_rows, numbered, text_bytes
 
 BITS = 64
 #: Rows of one key that are compared in one go; more are dealt out as pairs of tiles.
@@ -250,7 +250,7 @@ def fingerprint_links(distinct: DataFrame, radius: int = 3, tile: int = TILE) ->
         if len(kept[0]) > 1:
             yield emit(kept, np.array([0, len(kept[0])]))
 
-    return dealt.select("fp", "key", F.col("i").cast("long"), F.col("j").cast("long")).mapInArrow(run, "a long, b long")
+    return dealt.select("fp", "key", F.col("i").cast("long"), F.col("j").cast("long")).mapInArrow(alone(run), "a long, b long")
 
 
 def components(fps: DataFrame, radius: int) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_dir, text_bytes, write_shared
+from .common import alone, fresh_dir, text_bytes, write_shared
 from .units import encoder, slices
 
 #: File: magic, then HEAD, the document table, the chunk index, the chunks.
@@ -149,7 +149,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, path: str | N
         if doc_ids:
             yield close()
 
-    ranged.mapInArrow(run, MANIFEST).write.parquet(f"{at}/manifest")
+    ranged.mapInArrow(alone(run), MANIFEST).write.parquet(f"{at}/manifest")
     return at
 
 
@@ -180,5 +180,5 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 )
 
     files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.ids").option("recursiveFileLookup", "true").load(path)
-    rows = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content").mapInArrow(run, "at string, doc_id long, within long, n_tokens long, ids_crc32 long")
+    rows = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content").mapInArrow(alone(run), "at string, doc_id long, within long, n_tokens long, ids_crc32 long")
     return rows.join(before, rows["at"] == before["file"]).select("doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")

@@ -16,7 +16,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, held, held_out, map_rows, numbered, text_bytes
+from .common import alone, cut, held, held_out, map_rows, numbered, pieces, text_bytes
 from .license_scan import TO_WORDS, to_words
 from .units import ranges, slices
 
@@ -24,6 +24,8 @@ from .units import ranges, slices
 EXAMPLES, POSTINGS = 20_000, 32_000_000
 #: Examples of one index block, terms kept as whole rows too, neighbours that vote, texts whose score a task remembers.
 BLOCK, DENSE, NEIGHBOURS, SEEN = 64, 512, 15, 2_000
+#: A term is frequent if more than one of OFTEN examples has it.
+OFTEN = 10
 #: Weight of a term that tells nothing about the classes, beside one that tells all (1).
 FLOOR = 1e-6
 #: Relative error of single-precision sums of some hundred positive terms, with room to spare.
@@ -33,7 +35,7 @@ NEAR = 0.01
 #: Lengths of what an example's terms have beyond its shorter and its longer head.
 TAILS = (0.01, 0.001)
 #: Bytes of text coded at once, queries whose frequent terms are weighed at once.
-SLICE, QUERIES = 8_000_000, 192
+SLICE, QUERIES = 3_000_000, 96
 
 
 def words_of(texts: list[bytes]) -> tuple[np.ndarray, pa.DictionaryArray]:
@@ -79,7 +81,7 @@ def stretches(x: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.concatenate([raw[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]).view(x.dtype)
 
 
-def parts(first: np.ndarray, size: int = 1_000_000) -> Iterator[tuple[int, int]]:
+def parts(first: np.ndarray, size: int = 300_000) -> Iterator[tuple[int, int]]:
     """Consecutive ranges of rows that hold about `size` entries each, one row at least; row k begins at first[k]."""
     a = 0
     while a + 1 < len(first):
@@ -91,14 +93,16 @@ def parts(first: np.ndarray, size: int = 1_000_000) -> Iterator[tuple[int, int]]
 class BlockMaxIndex:
     """Postings by term, cut into runs of BLOCK examples that each know the term's greatest weight in them.
 
-    Given are the examples' terms and their counts, those of example k at first[k] .. first[k + 1] - 1. A term of no more
+    given() gives the examples' terms and their counts, those of example k at first[k] .. first[k + 1] - 1; it is asked
+    once, and they are let go as soon as they are copied. A term of no more
     than BLOCK postings has no runs, as each of them would be one. Frequent terms are also kept as whole rows, one weight
     an example. Postings and rows are in single precision: they find the examples that may be among the nearest, whose
     cosines are then taken from their own terms. These are kept by falling weight; an example's heads are what carries
     all of its length but TAILS.
     """
 
-    def __init__(self, ids: np.ndarray, labels: np.ndarray, first: np.ndarray, terms: np.ndarray, counts: np.ndarray, idf: np.ndarray):
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, first: np.ndarray, given: Callable[[], tuple[np.ndarray, np.ndarray]], idf: np.ndarray):
+        terms, counts = given()
         self.ids, self.labels, self.first, self.idf = ids, labels, first, idf
         self.n = n = len(ids)
         n_terms = len(idf)
@@ -106,7 +110,7 @@ class BlockMaxIndex:
         self.post = np.append(0, np.cumsum(np.bincount(terms, minlength=n_terms)))  # first posting of each term, and the end
         most = int(counts.max(initial=1))
         self.factor = np.append(0.0, 1 + np.log(np.arange(1, most + 1)))  # by count
-        self.own = np.empty(len(terms), [("of", "<i4"), ("count", "<u2" if most < 1 << 16 else "<u4")])
+        self.own = np.empty(len(terms), [("of", "<i4"), ("count", np.min_scalar_type(most))])
         self.scale = np.zeros(n)  # by example: what brings it to length 1
         self.heads = [np.zeros(n, np.int64) for _ in TAILS]
         # some examples, then some terms at a time: what sorting needs beside the result stays small
@@ -123,7 +127,8 @@ class BlockMaxIndex:
             left = square[np.cumsum(size)][of] - square[:-1]  # of the squared length, from each term on
             for head, tail in zip(self.heads, TAILS, strict=True):
                 head[a:b] = np.bincount(of[left > tail**2 - 1e-9], minlength=b - a)
-        self.postings = np.empty(len(terms), [("of", "<u2" if n < 1 << 16 else "<u4"), ("w", "<f4")])
+        del terms, counts
+        self.postings = np.empty(len(self.own), [("of", "<u2" if n < 1 << 16 else "<u4"), ("w", "<f4")])
         self.most = np.zeros(n_terms, np.float32)  # greatest weight of each term
         runs, block, top = [np.zeros(1, np.int64)], [], []
         for a, b in parts(self.post):
@@ -145,7 +150,7 @@ class BlockMaxIndex:
         self.block = self.block.astype(np.int32)
         self.run = np.cumsum(np.concatenate(runs))  # first run of each term, and the end
         often = np.argsort(-np.diff(self.post), kind="stable")[:DENSE]
-        often = often[np.diff(self.post)[often] * 16 > n]
+        often = often[np.diff(self.post)[often] * OFTEN > n]
         self.row = np.full(n_terms, -1)  # by term, its row of dense; -1 for a rarer term
         self.row[often] = np.arange(len(often))
         self.dense = np.zeros((len(often), self.blocks * BLOCK), np.float32)
@@ -172,9 +177,14 @@ class BlockMaxIndex:
             of, row_, w = np.repeat(np.arange(len(some)), size[some]), row[at], weights[at]
             of, row_, w = of[row_ >= 0], row_[row_ >= 0], w[row_ >= 0]
             used, column = np.unique(row_, return_inverse=True)
+            if 2 * len(used) > len(self.dense):  # rather all rows than a copy of most
+                used, column, dense = np.arange(len(self.dense)), row_, self.dense
+            else:
+                dense = self.dense[used]
             frequent = np.zeros((len(some), len(used)), np.float32)
             frequent[of, column] = w
-            common = frequent @ self.dense[used]
+            common = frequent @ dense
+            del dense
             for j, part in zip(some.tolist(), common, strict=True):
                 own = slice(first[j], first[j + 1])
                 out[j] = self._nearest(terms[own], weights[own], k, -1 if without is None else without[j], part)
@@ -302,7 +312,8 @@ def index_of(shared: Broadcast, name: str) -> tuple[pa.Array, BlockMaxIndex]:
         x = shared.value
         if hasattr(shared, "_path"):  # the worker may read it again from there: no need to keep it beside the index
             vars(shared).pop("_value", None)
-        index = BlockMaxIndex(x["ids"], x["labels"], x["first"], x["terms"], x["counts"], x["idf"])
+        take = x.pop if hasattr(shared, "_path") else x.get
+        index = BlockMaxIndex(x["ids"], x["labels"], x["first"], lambda: (take("terms"), take("counts")), x["idf"])
         pa.default_memory_pool().release_unused()
         return x["vocabulary"], index
 
@@ -331,9 +342,8 @@ def document_counts(docs: DataFrame, vocabulary: pa.Array) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(vocabulary), np.int64)
         for b in batches:
-            texts = text_bytes(b)
-            for rows in slices(texts, SLICE):
-                total += np.bincount(term_numbers([texts[k] for k in rows], vocabulary)[1], minlength=len(total))
+            for part in pieces(b, 2 * SLICE):
+                total += np.bincount(term_numbers(text_bytes(part), vocabulary)[1], minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["term", "n"])
 
@@ -432,7 +442,9 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neighbours
     length = pc.list_value_length(rows.column("terms")).to_numpy()
     some = length > 0
     shared = {"vocabulary": vocabulary, "idf": idf, "ids": rows.column("doc_id").to_numpy()[some], "labels": y[some], "first": np.append(0, np.cumsum(length[some]))}
-    shared |= {c: pc.list_flatten(rows.column(c)).to_numpy() for c in ("terms", "counts")}
+    shared["terms"], counts = (pc.list_flatten(rows.column(c)).to_numpy() for c in ("terms", "counts"))
+    shared["counts"] = counts.astype(np.min_scalar_type(int(counts.max(initial=1))))
+    del counts
     del rows
     name, spark = uuid4().hex, docs.sparkSession
     sent = spark.sparkContext.broadcast(shared)
@@ -448,7 +460,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neighbours
             found = index.nearest_of(first, at["of"], tfidf(first, at["of"], at["count"], index.idf), neighbours, own.tolist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([features(near, index.labels, prior) for near in found], pa.list_(pa.float64()))], names=["id", "x"])
 
-    x = spark.range(0, n, 1, -(-n // 512)).mapInArrow(leave_one_out, "id long, x array<double>").toArrow().sort_by("id")
+    x = spark.range(0, n, 1, -(-n // 512)).mapInArrow(alone(leave_one_out), "id long, x array<double>").toArrow().sort_by("id")
     by = np.where(y == 1, prior * len(y) / n_1, (1 - prior) * len(y) / n_0)
     beta = fit_logistic(np.array(x.column("x").to_pylist()), labels_, by[some])
     return Model(sent, name, beta, prior, ((by * y)[~some].sum() + 0.5 * prior) / (by[~some].sum() + 0.5))
@@ -475,10 +487,7 @@ def scorer(model: Model, neighbours: int = NEIGHBOURS):
             seen.popitem(last=False)
         return out
 
-    def in_slices(texts: list[bytes]) -> list[tuple[float, list]]:
-        return [x for rows in slices(texts, SLICE) for x in score([texts[k] for k in rows])]
-
-    return in_slices
+    return score
 
 
 def score_documents(docs: DataFrame, model: Model, neighbours: int = NEIGHBOURS, with_evidence: bool = True) -> DataFrame:
@@ -488,7 +497,7 @@ def score_documents(docs: DataFrame, model: Model, neighbours: int = NEIGHBOURS,
         score = scorer(model, neighbours)
         ids, labels = index_of(model.shared, model.name)[1].facts() if model.shared else ((), ())
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("label", pa.int32())]))
-        for b in batches:
+        for b in (part for batch in batches for part in pieces(batch, SLICE)):
             got = score(text_bytes(b))
             cols = [b.column(0), pa.array([x for x, _ in got], pa.float64())]
             if with_evidence:
@@ -523,7 +532,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **set
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer(model, neighbours)
-        for b in batches:
+        for b in (part for batch in batches for part in pieces(batch, SLICE, text)):
             yield b.filter(pa.array([x < threshold for x, _ in score(text_bytes(b, text))], pa.bool_()))
 
-    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+    return plain.mapInArrow(alone(run), plain.schema).toDF(*docs.columns)

@@ -149,7 +149,7 @@ def test_block_max_search_is_exact(n, v, share):
     w = np.where(counts > 0, 1 + np.log(np.maximum(counts, 1)), 0.0) * idf
     w /= np.maximum(np.sqrt((w * w).sum(axis=1, keepdims=True)), 1e-300)
     example, term = np.nonzero(counts)
-    index = toxicity.BlockMaxIndex(np.arange(n), np.zeros(n), np.searchsorted(example, np.arange(n + 1)), term, counts[example, term], idf)
+    index = toxicity.BlockMaxIndex(np.arange(n), np.zeros(n), np.searchsorted(example, np.arange(n + 1)), lambda: (term, counts[example, term]), idf)
     for k in range(60):
         q = counts[rng.integers(n)] if k % 2 else rng.integers(0, 4, v) * (rng.random(v) < 0.2)
         t = np.flatnonzero(q)
