@@ -101,8 +101,18 @@ def held(key: tuple, make: Callable):
     return _held[key]
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Lets Arrow batches have `rows` rows at most, unless the session has chosen another bound than Spark's own 10,000.
+
+    A batch of long texts takes memory several times over, in the JVM and in Python.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def map_rows(df: DataFrame, cols: list, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """fn over Arrow batches of cols alone; columns of df that cols doesn't name never reach Python."""
+    small_batches(df.sparkSession)
     return df.select(*cols).mapInArrow(alone(fn), schema)
 
 

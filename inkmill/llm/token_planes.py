@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import alone, fresh_dir, text_bytes, write_shared
+from .common import alone, fresh_dir, small_batches, text_bytes, write_shared
 from .units import encoder, slices
 
 #: File: magic, then HEAD, the document table, the chunk index, the chunks.
@@ -117,6 +117,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, path: str | N
     writes no file. A task that runs again writes the same names and bytes.
     """
     at = path or fresh_dir(docs.sparkSession, "tokens")
+    small_batches(docs.sparkSession)
     ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

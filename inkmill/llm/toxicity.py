@@ -16,7 +16,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alone, cut, held, held_out, map_rows, numbered, pieces, text_bytes
+from .common import alone, cut, held, held_out, map_rows, numbered, pieces, small_batches, text_bytes
 from .license_scan import TO_WORDS, to_words
 from .units import ranges, slices
 
@@ -528,6 +528,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **set
     """
     model = fit(docs, labels, **settings)
     neighbours = settings.get("neighbours", NEIGHBOURS)
+    small_batches(docs.sparkSession)
     plain, text = numbered(docs), f"c{docs.columns.index('text')}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
