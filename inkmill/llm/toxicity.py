@@ -25,7 +25,7 @@ EXAMPLES, POSTINGS = 20_000, 32_000_000
 #: Examples of one index block, terms kept as whole rows too, neighbours that vote, texts whose score a task remembers.
 BLOCK, DENSE, NEIGHBOURS, SEEN = 64, 512, 15, 2_000
 #: A term is frequent if more than one of OFTEN examples has it.
-OFTEN = 10
+OFTEN = 4
 #: Weight of a term that tells nothing about the classes, beside one that tells all (1).
 FLOOR = 1e-6
 #: Relative error of single-precision sums of some hundred positive terms, with room to spare.
@@ -95,7 +95,7 @@ class BlockMaxIndex:
 
     given() gives the examples' terms and their counts, those of example k at first[k] .. first[k + 1] - 1; it is asked
     once, and they are let go as soon as they are copied. A term of no more
-    than BLOCK postings has no runs, as each of them would be one. Frequent terms are also kept as whole rows, one weight
+    than 4 * BLOCK postings has no runs, as most of them would be one. Frequent terms are also kept as whole rows, one weight
     an example. Postings and rows are in single precision: they find the examples that may be among the nearest, whose
     cosines are then taken from their own terms. These are kept by falling weight; an example's heads are what carries
     all of its length but TAILS.
@@ -138,7 +138,7 @@ class BlockMaxIndex:
             term = own["of"]
             to["of"], to["w"] = example, self.factor[own["count"]] * idf[term] * self.scale[example]
             np.maximum.at(self.most, term, to["w"])
-            at = np.flatnonzero(np.diff(self.post)[term] > BLOCK)
+            at = np.flatnonzero(np.diff(self.post)[term] > 4 * BLOCK)
             term, to, example = term[at], to[at], example[at] // BLOCK
             new = np.ones(len(at), bool)
             new[1:] = (term[1:] != term[:-1]) | (example[1:] != example[:-1])
@@ -148,10 +148,10 @@ class BlockMaxIndex:
             runs.append(np.bincount(term[start] - a, minlength=b - a))
         self.block, self.top = (np.concatenate([np.zeros(0, np.float32), *x]) for x in (block, top))  # by run
         self.block = self.block.astype(np.int32)
-        self.run = np.cumsum(np.concatenate(runs))  # first run of each term, and the end
+        self.run = np.cumsum(np.concatenate(runs)).astype(np.int32)  # first run of each term, and the end
         often = np.argsort(-np.diff(self.post), kind="stable")[:DENSE]
         often = often[np.diff(self.post)[often] * OFTEN > n]
-        self.row = np.full(n_terms, -1)  # by term, its row of dense; -1 for a rarer term
+        self.row = np.full(n_terms, -1, np.int16)  # by term, its row of dense; -1 for a rarer term
         self.row[often] = np.arange(len(often))
         self.dense = np.zeros((len(often), self.blocks * BLOCK), np.float32)
         for r, k in enumerate(often.tolist()):
