@@ -25,7 +25,7 @@ EXAMPLES, POSTINGS = 20_000, 32_000_000
 #: Examples of one index block, terms kept as whole rows too, neighbours that vote, texts whose score a task remembers.
 BLOCK, DENSE, NEIGHBOURS, SEEN = 64, 512, 15, 2_000
 #: A term is frequent if more than one of OFTEN examples has it.
-OFTEN = 4
+OFTEN = 16
 #: Weight of a term that tells nothing about the classes, beside one that tells all (1).
 FLOOR = 1e-6
 #: Relative error of single-precision sums of some hundred positive terms, with room to spare.
@@ -35,7 +35,7 @@ NEAR = 0.01
 #: Lengths of what an example's terms have beyond its shorter and its longer head.
 TAILS = (0.01, 0.001)
 #: Bytes of text coded at once, queries whose frequent terms are weighed at once.
-SLICE, QUERIES = 3_000_000, 96
+SLICE, QUERIES = 6_000_000, 192
 
 
 def words_of(texts: list[bytes]) -> tuple[np.ndarray, pa.DictionaryArray]:
