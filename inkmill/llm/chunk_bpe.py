@@ -14,7 +14,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alone, held, map_rows, text_bytes
+from .common import alone, fresh_dir, held, local_path, map_rows, mapped_arrays, text_bytes, write_arrays
 from .units import UnitEncoder, slices
 
 #: A chunk ends where the low bits of a rolling hash over the last 32 bytes are all set: AVERAGE bytes on average.
@@ -23,6 +23,8 @@ AVERAGE = 1024
 KEEP = 48_000_000
 #: Bytes of shared chunks that are encoded once for all workers: those that occur most often.
 SHARED = 48_000_000
+#: Bytes of text encoded and decoded at once.
+SLICE = 4_000_000
 _HEAD = re.compile(rb"[\t-\r ]")
 
 
@@ -53,18 +55,51 @@ def key_of(chunk: bytes) -> bytes:
     return hashlib.blake2b(chunk, digest_size=16).digest()
 
 
+class SharedChunks:
+    """The insides of chunks by key, as inside() gives them, from mapped arrays: a worker holds the keys alone."""
+
+    COLUMNS = ("head", "ids", "tail", "first", "last")
+
+    def __init__(self, x: dict[str, np.ndarray]):
+        keys = x["keys"].tobytes()
+        self.row = {keys[k : k + 16]: k // 16 for k in range(0, len(keys), 16)}
+        self.null = x["null"]
+        self.columns = [(memoryview(x[f"{c}_at"]), memoryview(x[c])) for c in self.COLUMNS]
+
+    @classmethod
+    def arrays(cls, rows: pa.Table) -> dict[str, np.ndarray]:
+        """What the constructor takes, of rows (key and COLUMNS, all binary)."""
+        x = {"keys": np.frombuffer(b"".join(rows.column("key").to_pylist()), np.uint8), "null": rows.column("ids").is_null().to_numpy()}
+        for c in cls.COLUMNS:
+            values = [v or b"" for v in rows.column(c).to_pylist()]
+            x[f"{c}_at"], x[c] = np.append(0, np.cumsum([len(v) for v in values], dtype=np.int64)), np.frombuffer(b"".join(values), np.uint8)
+        return x
+
+    def __contains__(self, key: bytes) -> bool:
+        return key in self.row
+
+    def __len__(self) -> int:
+        return len(self.row)
+
+    def get(self, key: bytes) -> tuple | None:
+        if (k := self.row.get(key)) is None:
+            return None
+        head, ids, tail, first, last = (bytes(data[at[k] : at[k + 1]]) for at, data in self.columns)
+        return head, None if self.null[k] else ids, tail, first, last
+
+
 class ChunkEncoder:
     """Encodes whole texts chunk by chunk, remembering chunks, and decodes ids as the library does.
 
-    A chunk that is shared (see share()) comes encoded; any other is encoded once however many texts of this worker have
-    it, as long as it is remembered. What is kept is its inside: the ids between the first and the last white space, with
+    A chunk that is shared (see encoded_chunks()) comes encoded; any other is encoded once however many texts of this
+    worker have it, as long as it is remembered. What is kept is its inside: the ids between the first and the last white space, with
     the bytes left over at either end and the first and last word inside. At a join, what both sides left over is
     encoded anew between the last word of the one inside and the first word of the other. The new ids must agree exactly
     with what both insides have for these words; a text with a join that doesn't is encoded whole. Where a chunk holds no
     white space the piece grows by the whole chunk and goes on to the next join.
     """
 
-    def __init__(self, path: str, average: int, keep: int, shared: dict[bytes, tuple] | None = None):
+    def __init__(self, path: str, average: int, keep: int, shared: dict[bytes, tuple] | SharedChunks | None = None):
         self.enc = UnitEncoder(path)
         if not self.enc.word:
             raise ValueError("chunk reuse needs a tokenizer that drops white space")
@@ -179,11 +214,11 @@ class ChunkEncoder:
             return " ".join(names[k] for k in got if k < n and names[k] is not None)
 
 
-def share(docs: DataFrame, tokenizer: str, average: int = AVERAGE, budget: int = SHARED) -> Broadcast:
-    """The insides of chunks that occur more than once in docs (text), each encoded once in the whole run, for all workers.
+def encoded_chunks(docs: DataFrame, tokenizer: str, average: int, budget: int) -> pa.Table:
+    """The insides of chunks that occur more than once in docs (text), each encoded once in the whole run.
 
     Tasks count chunks by hash, and only hashes and counts are shuffled; the most frequent ones are chosen, `budget`
-    bytes of them at most, so what is broadcast is bounded. Each then comes from one of the tasks that meet it, and is
+    bytes of them at most, so what is returned is bounded. Each then comes from one of the tasks that meet it, and is
     encoded by one. Shared chunks beyond the budget are encoded by each worker that meets them.
     """
 
@@ -223,16 +258,34 @@ def share(docs: DataFrame, tokenizer: str, average: int = AVERAGE, budget: int =
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([v[k] for v in values], pa.binary()) for k in range(5))], names=["key", "head", "ids", "tail", "first", "last"])
 
     once = map_rows(docs, ["text"], bring, "key binary, chunk binary").groupBy("key").agg(F.first("chunk").alias("chunk"))
-    done = once.mapInArrow(alone(inside), "key binary, head binary, ids binary, tail binary, first binary, last binary").toArrow()
-    return docs.sparkSession.sparkContext.broadcast(done)
+    return once.mapInArrow(alone(inside), "key binary, head binary, ids binary, tail binary, first binary, last binary").toArrow()
+
+
+def share(docs: DataFrame, tokenizer: str, average: int = AVERAGE, budget: int = SHARED) -> Broadcast:
+    """encoded_chunks() for all workers, each of which holds a copy."""
+    return docs.sparkSession.sparkContext.broadcast(encoded_chunks(docs, tokenizer, average, budget))
+
+
+def share_mapped(docs: DataFrame, tokenizer: str, average: int = AVERAGE, budget: int = SHARED) -> Broadcast | str:
+    """encoded_chunks() as the folder of a SharedChunks, of which all workers of a machine map one copy.
+
+    A shared folder that isn't in the local file system can't be mapped: there it is share().
+    """
+    at = local_path(fresh_dir(docs.sparkSession, "chunks"))
+    if not at:
+        return share(docs, tokenizer, average, budget)
+    write_arrays(at, SharedChunks.arrays(encoded_chunks(docs, tokenizer, average, budget)))
+    return at
 
 
-def chunk_encoder(path: str, average: int, keep: int, shared: Broadcast | None, name: str) -> ChunkEncoder:
+def chunk_encoder(path: str, average: int, keep: int, shared: Broadcast | str | None, name: str) -> ChunkEncoder:
     """A Python worker's encoder, kept over its tasks, so that chunks are reused across them as well."""
 
     def make() -> ChunkEncoder:
         if shared is None:
             return ChunkEncoder(path, average, keep)
+        if isinstance(shared, str):
+            return ChunkEncoder(path, average, keep, SharedChunks(mapped_arrays(shared)))
         rows = shared.value
         if hasattr(shared, "_path"):  # the worker may read it again from there
             vars(shared).pop("_value", None)
@@ -247,15 +300,15 @@ def encode_documents(docs: DataFrame, tokenizer: str, average: int = AVERAGE, ke
 
     Null texts are empty: no ids, an empty decoded text. Null ids and repeated rows pass through; other columns are
     ignored; an empty table gives an empty table. Tokenizers that keep white space raise ValueError. Shared chunks are
-    found and encoded first (see share()); then one pass without a shuffle.
+    found and encoded first (see encoded_chunks()); then one pass without a shuffle.
     """
-    shared, name = share(docs, tokenizer, average, budget), uuid4().hex
+    shared, name = share_mapped(docs, tokenizer, average, budget), uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = chunk_encoder(tokenizer, average, keep, shared, name)
         for b in batches:
             texts = text_bytes(b)
-            for rows in slices(texts):
+            for rows in slices(texts, SLICE):
                 ids = enc.encode([texts[k] for k in rows])
                 decoded = [enc.decode(x) for x in ids]
                 cols = [

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -184,7 +185,8 @@ def write_shared(path: str, data: bytes) -> None:
 
     A task that runs twice writes the same bytes, so the later rename changes nothing.
     """
-    if "://" in path and not path.startswith("file:"):
+    at = local_path(path)
+    if at is None:
         from pyarrow import fs
 
         store, at = fs.FileSystem.from_uri(path)
@@ -194,9 +196,37 @@ def write_shared(path: str, data: bytes) -> None:
             f.write(data)
         store.move(tmp, at)
         return
-    at = path.removeprefix("file://") if path.startswith("file://") else path.removeprefix("file:")
     os.makedirs(os.path.dirname(at), exist_ok=True)
     tmp = f"{os.path.dirname(at)}/.{os.path.basename(at)}.{uuid.uuid4().hex}.tmp"
     with open(tmp, "wb") as f:
         f.write(data)
     os.replace(tmp, at)
+
+
+def local_path(path: str) -> str | None:
+    """The path as this machine's file system names it, None if it is in another store."""
+    if path.startswith("file:"):
+        return path.removeprefix("file://") if path.startswith("file://") else path.removeprefix("file:")
+    return None if "://" in path else path
+
+
+def write_arrays(at: str, arrays: dict[str, np.ndarray]) -> None:
+    """Writes arrays as the .npy files of a folder (local_path()): under a name of its own first, then renamed.
+
+    Where a task that runs twice finds the folder, the arrays in it are the same and stay.
+    """
+    tmp = f"{os.path.dirname(at)}/.{os.path.basename(at)}.{uuid.uuid4().hex}.tmp"
+    os.makedirs(tmp)
+    for name, x in arrays.items():
+        np.save(f"{tmp}/{name}.npy", x, allow_pickle=False)
+    try:
+        os.rename(tmp, at)
+    except OSError:
+        shutil.rmtree(tmp)
+        if not os.path.isdir(at):
+            raise
+
+
+def mapped_arrays(at: str) -> dict[str, np.ndarray]:
+    """The arrays that write_arrays() wrote, mapped: all processes of a machine share the pages, none holds a copy."""
+    return {name.removesuffix(".npy"): np.asarray(np.load(f"{at}/{name}", mmap_mode="r", allow_pickle=False)) for name in os.listdir(at)}

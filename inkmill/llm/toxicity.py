@@ -12,11 +12,12 @@ from uuid import uuid4
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import alone, cut, held, held_out, map_rows, numbered, pieces, small_batches, text_bytes
+from .common import alone, cut, fresh_dir, held, held_out, local_path, map_rows, mapped_arrays, numbered, pieces, small_batches, text_bytes, tidy, write_arrays
 from .license_scan import TO_WORDS, to_words
 from .units import ranges, slices
 
@@ -159,6 +160,24 @@ class BlockMaxIndex:
             self.dense[r, some["of"]] = some["w"]
         self.query = np.zeros(n_terms)  # by term, weight in the query times idf; all 0 between searches
 
+    #: What the index consists of; heads goes apart, and what else there is follows from these.
+    ARRAYS = ("ids", "labels", "first", "idf", "post", "factor", "own", "scale", "postings", "most", "block", "top", "run", "row", "dense")
+
+    def arrays(self) -> dict[str, np.ndarray]:
+        return {name: getattr(self, name) for name in self.ARRAYS} | {f"heads{k}": x for k, x in enumerate(self.heads)}
+
+    @classmethod
+    def of_arrays(cls, x: dict[str, np.ndarray]) -> BlockMaxIndex:
+        """The index that gave arrays(); they are only read, so they may be mapped."""
+        self = cls.__new__(cls)
+        for name in cls.ARRAYS:
+            setattr(self, name, x[name])
+        self.heads = [x[f"heads{k}"] for k in range(len(TAILS))]
+        self.n = len(self.ids)
+        self.blocks = -(-self.n // BLOCK)
+        self.query = np.zeros(len(self.idf))
+        return self
+
     def nearest_of(self, first: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, without: list[int] | None = None) -> list[list[tuple[float, int]]]:
         """nearest() of many queries, given as the examples are; what frequent terms add is one matrix product for some.
 
@@ -298,26 +317,60 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
 
 @dataclass
 class Model:
-    shared: Broadcast | None  # what index_of() makes the index from; None without examples of both classes
+    shared: Broadcast | str | None  # what index_of() takes the index from; None without examples of both classes
     name: str
     beta: np.ndarray
     prior: float  # share of label 1 among the labelled rows
     bare: float  # score of a text without any term
 
 
-def index_of(shared: Broadcast, name: str) -> tuple[pa.Array, BlockMaxIndex]:
-    """(vocabulary, index), built once in each Python worker."""
+def built(shared: Broadcast) -> tuple[pa.Array, BlockMaxIndex]:
+    """(vocabulary, index) from what fit() broadcasts."""
+    x = shared.value
+    if hasattr(shared, "_path"):  # the worker may read it again from there: no need to keep it beside the index
+        vars(shared).pop("_value", None)
+    take = x.pop if hasattr(shared, "_path") else x.get
+    index = BlockMaxIndex(x["ids"], x["labels"], x["first"], lambda: (take("terms"), take("counts")), x["idf"])
+    pa.default_memory_pool().release_unused()
+    return x["vocabulary"], index
+
+
+def write_index(spark: SparkSession, vectors: str, vocabulary: pa.Array, idf: np.ndarray, at: str) -> None:
+    """Builds the index in one task from what vectors() gave (Parquet) and writes it; both folders are local_path()s of the shared one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted_vectors(pq.read_table(vectors))
+        held_ = [rows.pop("terms"), rows.pop("counts")]
+        index = BlockMaxIndex(rows["ids"], rows["labels"], rows["first"], lambda: (held_.pop(0), held_.pop(0)), idf)
+        size = pc.binary_length(vocabulary).to_numpy()
+        words = {"offsets": np.append(0, np.cumsum(size)).astype(np.int32), "words": np.frombuffer(b"".join(vocabulary.to_pylist()), np.uint8)}
+        write_arrays(at, index.arrays() | words)
+        del index
+        yield from batches
+
+    spark.range(0, 1, 1, 1).mapInArrow(alone(run), "id long").collect()
+
+
+def mapped_index(at: str) -> tuple[pa.Array, BlockMaxIndex]:
+    """(vocabulary, index) as write_index() left them, mapped."""
+    x = mapped_arrays(at)
+    vocabulary = pa.Array.from_buffers(pa.binary(), len(x["offsets"]) - 1, [None, pa.py_buffer(x["offsets"]), pa.py_buffer(x["words"])])
+    return vocabulary, BlockMaxIndex.of_arrays(x)
+
+
+def index_of(shared: Broadcast | str, name: str) -> tuple[pa.Array, BlockMaxIndex]:
+    """(vocabulary, index): mapped from a folder, or built from a broadcast once in each Python worker."""
+    return held(("toxicity", name), lambda: mapped_index(shared) if isinstance(shared, str) else built(shared))
 
-    def build() -> tuple:
-        x = shared.value
-        if hasattr(shared, "_path"):  # the worker may read it again from there: no need to keep it beside the index
-            vars(shared).pop("_value", None)
-        take = x.pop if hasattr(shared, "_path") else x.get
-        index = BlockMaxIndex(x["ids"], x["labels"], x["first"], lambda: (take("terms"), take("counts")), x["idf"])
-        pa.default_memory_pool().release_unused()
-        return x["vocabulary"], index
 
-    return held(("toxicity", name), build)
+def sorted_vectors(rows: pa.Table) -> dict[str, np.ndarray]:
+    """What an index is built from, of the examples that have terms, by rising id: ids, labels, first, terms, counts."""
+    rows = rows.sort_by("doc_id")
+    length = pc.list_value_length(rows.column("terms")).to_numpy()
+    some = length > 0
+    out = {"ids": rows.column("doc_id").to_numpy()[some], "labels": (rows.column("y").to_numpy() == 1).astype(float)[some], "first": np.append(0, np.cumsum(length[some]))}
+    out["terms"], counts = (pc.list_flatten(rows.column(c)).to_numpy() for c in ("terms", "counts"))
+    return out | {"counts": counts.astype(np.min_scalar_type(int(counts.max(initial=1))))}
 
 
 def class_counts(docs: DataFrame) -> DataFrame:
@@ -407,9 +460,12 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neighbours
     docs are left out; an id labelled twice is toxic if one of the labels says so. Without examples of both classes
     every score is the share of label 1.
 
-    Tasks count the terms and take the examples' vectors; the driver holds the vectors once, as numbers, and broadcasts
-    them: `postings` pairs of term and count at most, beside the vocabulary. Tasks build the index.
+    Tasks count the terms and take the examples' vectors, `postings` pairs of term and count at most; the driver holds
+    the vocabulary. One task builds the index and writes it to the shared folder, from where all workers of a machine map
+    one copy. A shared folder that isn't in the local file system can't be mapped: there the driver holds the vectors
+    once, as numbers, and broadcasts them, and each worker builds the index.
     """
+    tidy()  # of what ran in the driver before
     sample, size = chosen_examples(docs, labels, examples, postings)
     total = sum(size.values())
     prior = size.get(True, 0) / total if total else 0.0
@@ -437,22 +493,24 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neighbours
                 lists = [pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(x, pa.int32())) for x in (terms, counts)]
                 yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(rows)) for c in (0, 2)), *lists], names=["doc_id", "y", "terms", "counts"])
 
-    rows = map_rows(sample, ["doc_id", "text", "y"], vectors, "doc_id long, y int, terms array<int>, counts array<int>").orderBy("doc_id").toArrow()
-    y = (rows.column("y").to_numpy() == 1).astype(float)
-    length = pc.list_value_length(rows.column("terms")).to_numpy()
-    some = length > 0
-    shared = {"vocabulary": vocabulary, "idf": idf, "ids": rows.column("doc_id").to_numpy()[some], "labels": y[some], "first": np.append(0, np.cumsum(length[some]))}
-    shared["terms"], counts = (pc.list_flatten(rows.column(c)).to_numpy() for c in ("terms", "counts"))
-    shared["counts"] = counts.astype(np.min_scalar_type(int(counts.max(initial=1))))
-    del counts
-    del rows
-    name, spark = uuid4().hex, docs.sparkSession
-    sent = spark.sparkContext.broadcast(shared)
-    labels_, n = shared["labels"], int(some.sum())
-    del shared
+    spark, name = docs.sparkSession, uuid4().hex
+    rows = map_rows(sample, ["doc_id", "text", "y"], vectors, "doc_id long, y int, terms array<int>, counts array<int>")
+    source: Broadcast | str
+    if local_path(at := fresh_dir(spark, "vectors")):
+        rows.write.parquet(at)
+        source = local_path(fresh_dir(spark, "index"))
+        write_index(spark, local_path(at), vocabulary, idf, source)
+        facts = spark.read.parquet(at).select("doc_id", "y", (F.size("terms") > 0).alias("some")).toArrow().sort_by("doc_id")
+        y, some = facts.column("y").to_numpy() == 1, facts.column("some").to_numpy()
+    else:
+        rows = rows.toArrow().sort_by("doc_id")
+        y, some = rows.column("y").to_numpy() == 1, pc.list_value_length(rows.column("terms")).to_numpy() > 0
+        source = spark.sparkContext.broadcast(sorted_vectors(rows) | {"vocabulary": vocabulary, "idf": idf})
+    del rows, vocabulary
+    y, n = y.astype(float), int(some.sum())
 
     def leave_one_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, index = index_of(sent, name)
+        _, index = index_of(source, name)
         for b in batches:
             own = b.column(0).to_numpy()
             size = index.first[own + 1] - index.first[own]
@@ -462,8 +520,8 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neighbours
 
     x = spark.range(0, n, 1, -(-n // 512)).mapInArrow(alone(leave_one_out), "id long, x array<double>").toArrow().sort_by("id")
     by = np.where(y == 1, prior * len(y) / n_1, (1 - prior) * len(y) / n_0)
-    beta = fit_logistic(np.array(x.column("x").to_pylist()), labels_, by[some])
-    return Model(sent, name, beta, prior, ((by * y)[~some].sum() + 0.5 * prior) / (by[~some].sum() + 0.5))
+    beta = fit_logistic(np.array(x.column("x").to_pylist()), y[some], by[some])
+    return Model(source, name, beta, prior, ((by * y)[~some].sum() + 0.5 * prior) / (by[~some].sum() + 0.5))
 
 
 def scorer(model: Model, neighbours: int = NEIGHBOURS):

@@ -1,3 +1,4 @@
+import mmap
 import random
 import re
 
@@ -266,3 +267,32 @@ def test_flight_and_mix_count_repeated_rows(spark):
         rate = of[0].target / of[0].source_size
         assert abs(sum(r.taken for r in of) - of[0].target) <= 0.001 * of[0].target
         assert abs(sum(r.times for r in of) - rate * len(of)) <= 25, (sum(r.times for r in of), rate * len(of))
+
+
+def test_workers_map_one_index(spark, monkeypatch):
+    df, labels, _ = corpus(spark, 300, 4)
+    model = toxicity.fit(df, labels)
+    vocabulary, index = toxicity.index_of(model.shared, model.name)
+    for name in [x for x in index.ARRAYS if getattr(index, x).size]:
+        x = getattr(index, name)
+        while isinstance(x.base, np.ndarray):
+            x = x.base
+        assert isinstance(x.base, mmap.mmap), name  # no worker holds a copy of its own
+    assert len(vocabulary) == len(index.idf)
+    got = sorted(map(tuple, toxicity.score_documents(df, model).collect()), key=key)
+    # a store that can't be mapped: each worker builds the same index
+    monkeypatch.setattr(toxicity, "local_path", lambda _: None)
+    apart = toxicity.fit(df, labels)
+    assert np.array_equal(apart.beta, model.beta) and not isinstance(apart.shared, str)
+    assert sorted(map(tuple, toxicity.score_documents(df, apart).collect()), key=key) == got
+
+
+def test_written_arrays_come_back(tmp_path):
+    from inkmill.llm.common import mapped_arrays, write_arrays
+
+    arrays = {"a": np.zeros((0, 3), np.float32), "b": np.array([(1, 2.5)], [("of", "<u2"), ("w", "<f4")]), "c": np.arange(5)}
+    for _ in range(2):  # a task may run twice
+        write_arrays(f"{tmp_path}/x", arrays)
+    got = mapped_arrays(f"{tmp_path}/x")
+    assert all(np.array_equal(got[k], x) and got[k].dtype == x.dtype and got[k].shape == x.shape for k, x in arrays.items())
+    assert [p.name for p in tmp_path.iterdir()] == ["x"]

@@ -171,3 +171,22 @@ def test_a_join_that_disagrees_is_encoded_whole():
     real = enc.enc.encode
     enc.enc.encode = lambda texts: [x[4:] if b"wrong" in t and t != b"wrong" else x for t, x in zip(texts, real(texts), strict=True)]
     assert enc.encode([text]) == [packed(want)] and enc.whole == 1
+
+
+def test_workers_map_shared_chunks(spark, monkeypatch):
+    t = [" ".join(["some words that all texts have"] * 40) + f" {k} " + "z" * 900 + " end" for k in range(12)]
+    df = spark.createDataFrame(list(enumerate([*t, None, "", t[0]])), "doc_id LONG, text STRING").repartition(3)
+    at = chunk_bpe.share_mapped(df, WORD, 64)
+    enc = chunk_bpe.chunk_encoder(WORD, 64, 10_000, at, at)
+    table = chunk_bpe.share(df, WORD, 64).value
+    columns = [table.column(c).to_pylist() for c in ("key", "head", "ids", "tail", "first", "last")]
+    assert len(enc.shared) == len(table) > 3 and None in columns[2]
+    assert all(key in enc.shared and enc.shared.get(key) == tuple(inside) for key, *inside in zip(*columns, strict=True))
+    assert b"absent" not in enc.shared and enc.shared.get(b"absent") is None
+    # the bytes stay in the file: no worker holds them
+    assert not any(isinstance(x, bytes) for _, x in enc.shared.columns)
+    _, want = library(WORD, [*t, "", "", t[0]])
+    assert {r.doc_id: r.ids for r in chunk_bpe.encode_documents(df, WORD, 64).collect()} == dict(enumerate(want))
+    # a store that can't be mapped
+    monkeypatch.setattr(chunk_bpe, "local_path", lambda _: None)
+    assert {r.doc_id: r.ids for r in chunk_bpe.encode_documents(df, WORD, 64).collect()} == dict(enumerate(want))
